@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, mixing, sharding, token_store, toxicity
+from lectern.llm import bpe, fingerprints, mixing, sharding, substrings, token_store, toxicity
 from lectern.plans.shared import shared_path
 
 
@@ -18,6 +18,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(token_store.read_tokens(spark, path))
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(_docs(spark, sf_dir))
+
+
 def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_docs(spark, sf_dir))
 
@@ -31,9 +35,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(_docs(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_forced_boundary_bpe, op6_stratified_shards, op7_toxicity, op10_source_schedule)}
+_OPERATORS = (
+    op1_token_store,
+    op2_syncmer_fingerprints,
+    op3_forced_boundary_bpe,
+    op6_stratified_shards,
+    op7_toxicity,
+    op9_seed_extend,
+    op10_source_schedule,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
