@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, fingerprints, mixing, sharding, substrings, token_store, toxicity
+from lectern.llm import bpe, fingerprints, jaccard, mixing, sharding, substrings, token_store, toxicity
 from lectern.plans.shared import shared_path
 
 
@@ -26,6 +26,10 @@ def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_docs(spark, sf_dir))
 
 
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_docs(spark, sf_dir))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir)).drop("source")
 
@@ -47,6 +51,7 @@ _OPERATORS = (
     op1_token_store,
     op2_syncmer_fingerprints,
     op3_forced_boundary_bpe,
+    op5_chosen_path_join,
     op6_stratified_shards,
     op7_toxicity,
     op9_seed_extend,
