@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, fingerprints, jaccard, mixing, sharding, substrings, token_store, toxicity
+from lectern.llm import bpe, fingerprints, jaccard, mixing, sharding, substrings, token_store, toxicity, vectors
 from lectern.plans.shared import shared_path
 
 
@@ -39,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -54,6 +58,7 @@ _OPERATORS = (
     op5_chosen_path_join,
     op6_stratified_shards,
     op7_toxicity,
+    op8_flat_graph,
     op9_seed_extend,
     op10_source_schedule,
 )
