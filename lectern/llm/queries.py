@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, fingerprints, jaccard, mixing, sharding, substrings, token_store, toxicity, vectors
+from lectern.llm import bpe, fingerprints, jaccard, licenses, mixing, sharding, substrings, token_store, toxicity, vectors
 from lectern.plans.shared import shared_path
 
 
@@ -26,6 +26,10 @@ def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_docs(spark, sf_dir))
 
 
+def op4_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_docs(spark, sf_dir))
 
@@ -55,6 +59,7 @@ _OPERATORS = (
     op1_token_store,
     op2_syncmer_fingerprints,
     op3_forced_boundary_bpe,
+    op4_rare_token_licenses,
     op5_chosen_path_join,
     op6_stratified_shards,
     op7_toxicity,
@@ -63,4 +68,4 @@ _OPERATORS = (
     op10_source_schedule,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_rare_token_licenses": licenses.scan_sql()}
