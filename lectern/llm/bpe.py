@@ -1,9 +1,9 @@
 """BPE encoding and decoding with forced boundaries.
 
 A byte pair that occurs inside no vocabulary token can't be merged, whatever the merge order: a text may be cut there,
-the pieces encoded by themselves and their ids concatenated. White space never occurs inside a token of a word BPE, so
-the cheapest cuts are the ASCII spaces; the words between them are cut further at every other such pair, and each
-distinct piece is encoded once by the tokenizers library and remembered.
+the fragments encoded by themselves and their ids concatenated. White space, and most changes between letters, digits and
+punctuation, are such cuts, and the pre-tokenizer's own cuts are taken with them; the pieces between are cut further at every
+other such pair, and each distinct piece is encoded once by the tokenizers library and remembered.
 
 Null and empty texts have no ids and decode to the empty text. Texts of any length are whole: a text is only ever cut at
 forced boundaries. Repeated rows give repeated rows; extra columns are ignored.
@@ -13,14 +13,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words a worker remembers before it starts afresh; bounds memory, not results.
-MAX_WORDS = 250_000
+#: Distinct pieces in one generation of a worker's memory, which holds two; bounds memory, not results.
+MAX_PIECES = 300_000
+
+#: Letters, digits and spaces of Latin-1 after lower-casing; in this range normalization changes nothing but case and spaces.
+_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 def default_tokenizer() -> str:
@@ -30,79 +36,97 @@ def default_tokenizer() -> str:
 
 
 class _Memo(dict):
-    """Word (bytes) -> ids (bytes, little-endian unsigned 32 bits)."""
+    """Piece -> ids (bytes, little-endian unsigned 32 bits); pieces not used for a generation are forgotten."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_WORDS:
+    def __missing__(self, piece):
+        if len(self) >= MAX_PIECES:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = np.asarray(self.encode(word), dtype="<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece)).tobytes()
+        self[piece] = ids
         return ids
 
 
-class WordEncoder:
-    """Whole words, between ASCII spaces, go to the tokenizers library as they are."""
+class PieceEncoder:
+    """Every distinct piece goes to the tokenizers library as it is.
+
+    Pieces are pre-tokens of the lower-cased text where all its characters are Latin-1 and words between ASCII spaces
+    elsewhere; neither is changed by its surroundings in normalization, pre-tokenization or merging.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = _Memo(self.word)
+        self.special = [x["content"] for x in self.spec["added_tokens"]]
+        self.marks = {x[:2].encode() for x in self.special}
+        self.pieces, self.words = _Memo(self.piece), _Memo(lambda word: self.word(word.decode("utf-8", "replace")))
 
-    def word(self, word: bytes) -> list[int]:
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.split()))
+    def piece(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def word(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-class ForcedBoundaryEncoder(WordEncoder):
-    """Words are cut further wherever the vocabulary has no token across two bytes."""
+    def __call__(self, text: bytes) -> bytes:
+        if not any(x in text for x in self.marks):
+            if text.isascii():
+                return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.decode("ascii").lower())))
+            latin = text.decode("utf-8", "replace")
+            try:
+                latin.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return b"".join(map(self.pieces.__getitem__, _PIECE.findall(latin.lower())))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+class ForcedBoundaryEncoder(PieceEncoder):
+    """Pieces are cut further wherever the vocabulary has no token across two bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        suffix = spec["model"]["end_of_word_suffix"] or ""
+        model = self.spec["model"]
+        suffix = model["end_of_word_suffix"] or ""
         #: In the byte-level alphabet one character is one byte, so pairs of characters are pairs of bytes.
-        self.joined = {t[i : i + 2] for x in spec["model"]["vocab"] for t in [x.removesuffix(suffix)] for i in range(len(t) - 1)}
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.last = Tokenizer.from_str(json.dumps(bare))
-        self.inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
+        self.joined = {t[i : i + 2] for x in model["vocab"] for t in [x.removesuffix(suffix)] for i in range(len(t) - 1)}
+        bare = self.spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.last = Tokenizer.from_str(json.dumps(bare)).model
+        self.inner = Tokenizer.from_str(json.dumps(bare | {"model": model | {"end_of_word_suffix": None}})).model
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size())]
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of one pre-token, in the byte-level alphabet."""
         at = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.joined]
         return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
 
-    def fragment(self, text: str, final: bool) -> list[int]:
-        key = (text, final)
-        if key not in self.fragments:
-            if len(self.fragments) >= MAX_WORDS:
-                self.fragments.clear()
-            self.fragments[key] = (self.last if final else self.inner).encode(text, add_special_tokens=False).ids
-        return self.fragments[key]
-
-    def word(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8", "replace")
-        if any(x in text for x in self.special):
+    def fragments(self, piece: str) -> list[int]:
+        *inner, last = self.cut(piece)
+        return [t.id for x in inner for t in self.inner.tokenize(x)] + [t.id for t in self.last.tokenize(last)]
+
+    def piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():  # the byte-level alphabet leaves these as they are
+            return self.fragments(piece)
+        return self.word(piece)
+
+    def word(self, word: str) -> list[int]:
+        if any(x in word for x in self.special):
             return super().word(word)
-        ids: list[int] = []
-        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
-            parts = self.cut(piece)
-            for i, part in enumerate(parts):
-                ids += self.fragment(part, i == len(parts) - 1)
-        return ids
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
+        return [i for piece, _ in pieces for i in self.fragments(piece)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of what the library's decode gives: this vocabulary has no decoder, tokens are joined by spaces."""
@@ -110,8 +134,8 @@ class ForcedBoundaryEncoder(WordEncoder):
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 @lru_cache(maxsize=2)

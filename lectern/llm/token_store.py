@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.bpe import default_tokenizer, word_encoder
+from lectern.llm.bpe import default_tokenizer, piece_encoder
 from lectern.operators.ordered import range_bounds, range_bucket
 from lectern.plans.shared import shuffle_partitions
 
@@ -33,7 +33,7 @@ def _encode(path: str, end_id: int):
     def run(batches):
         import pyarrow as pa
 
-        encode, at = word_encoder(path), {}
+        encode, at = piece_encoder(path), {}
         for batch in batches:
             parts = batch.column(1).to_pylist()
             ids = [encode(x) + end for x in batch.column(2).to_pylist()]
