@@ -11,10 +11,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from lectern.plans import queries_present, queries_rank, queries_runs, queries_text, queries_windows  # noqa: F401  they list themselves
+from lectern.plans.catalog import ORACLE_SQL, QUERIES  # noqa: F401
+from lectern.plans.shared import shared_dir
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -25,8 +26,6 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    from lectern.plans.shared import shared_dir
-
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(ROOT.glob("lectern/**/*.py")):
