@@ -33,13 +33,13 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
     """ordinal, path of a list with one path per line; blank lines ignored. A list is a small file, read as one."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r\n?|\n")).alias("ordinal", "path"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n?|\n")).alias("ordinal", "path"))
     return lines.select("ordinal", F.trim("path").alias("path")).filter("path <> ''")
 
 
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     """original_index (1-based over sorted names), filename, content of a directory of chunks."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("content"))
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("content"))
     return files.withColumn("original_index", F.row_number().over(Window.orderBy("filename")))
 
 
@@ -68,7 +68,7 @@ def records(text: Column | str, separator: str = RS) -> Column:
 
 def journal(spark: SparkSession, path: str, strict: bool = False, separator: str = RS) -> DataFrame:
     """ordinal, record (JSON object) of a journal; a run is one file that is appended to record by record."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.inline(records("value", separator)))
+    lines = spark.read.text(path, wholetext=True).select(F.inline(records("value", separator)))
     object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("record")).startswith("OBJECT"), F.lit(False))
     if strict and not lines.filter(~object_).isEmpty():
         raise LecternError("malformed record", path=path)
