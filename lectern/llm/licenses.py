@@ -63,7 +63,7 @@ ANCHORS = 2
 
 def words_of(text: Column) -> Column:
     """Words after lower-casing A-Z. The Kelvin sign is the one other character whose lower case is ASCII by itself."""
-    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")))
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return F.array_remove(F.split(lower, NOT_WORD), "")
 
 

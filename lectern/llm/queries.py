@@ -48,7 +48,7 @@ def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+    return substrings.repeat_digests(_docs(spark, sf_dir))
 
 
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,32 +112,51 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     return whole.unionByName(parts).groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
 
 
-def _cut(digest: bool):
+def _kept(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
+    """Words of a text, words in the ranges, and the others joined by blanks."""
+    words = text.split()
+    cover = np.zeros(len(words) + 1, np.int64)
+    if ranges:
+        np.add.at(cover, [x["first"] for x in ranges], 1)
+        np.add.at(cover, [x["end"] for x in ranges], -1)
+    cover = np.cumsum(cover)[:-1] > 0
+    removed = int(cover.sum())
+    return len(words), removed, b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c] if removed else words)
+
+
+def _cut(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [_kept(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        total, removed, kept = zip(*found, strict=True) if found else ((), (), ())
+        digests = [hashlib.sha256(x).hexdigest() for x in kept]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def _cut_text(columns: list[str]):
     def run(batches):
         import pyarrow as pa
 
+        at = columns.index("text")
         for batch in batches:
-            total, removed, kept = [], [], []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
-                total.append(len(words))
-                cover = np.zeros(len(words) + 1, np.int64)
-                if ranges:
-                    np.add.at(cover, [x["first"] for x in ranges], 1)
-                    np.add.at(cover, [x["end"] for x in ranges], -1)
-                cover = np.cumsum(cover)[:-1] > 0
-                removed.append(int(cover.sum()))
-                left = b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c] if removed[-1] else words)
-                kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
-            )
+            texts = []
+            for text, ranges in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                texts.append(_kept(text.encode(), ranges)[2].decode() if ranges else text)
+            arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept of every row of ``docs`` (doc_id, text); kept: the words left joined by blanks, or their SHA-256."""
-    rows = _rows(docs)
-    cut = rows.join(repeats(docs, window, gram), "key", "left").select("doc_id", "text", "ranges")
-    return cut.mapInArrow(_cut(digest), "doc_id long, n_words long, n_removed long, kept string")
+def repeat_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs`` (doc_id, text): the digest is of the words left, joined by blanks."""
+    cut = _rows(docs).join(repeats(docs, window, gram), "key", "left").select("doc_id", "text", "ranges")
+    return cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the words of repeated windows removed; texts that lose nothing stay as they are."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), text)).join(repeats(docs, window, gram), "key", "left")
+    return keyed.select(*docs.columns, "ranges").mapInArrow(_cut_text(docs.columns), docs.schema)

@@ -42,7 +42,7 @@ _LIKE = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
 }
-_FOLD = str.maketrans(_LIKE | {"​": "", "‌": "", "‍": "", "﻿": "", "­": ""})
+_FOLD = str.maketrans(_LIKE | dict.fromkeys("\u200b\u200c\u200d\ufeff\u00ad", ""))
 
 
 def fold(text: str) -> str:
