@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces in one generation of a worker's memory, which holds two; bounds memory, not results.
-MAX_PIECES = 300_000
+MAX_PIECES = 400_000
 
 #: Letters, digits and spaces of Latin-1 after lower-casing; in this range normalization changes nothing but case and spaces.
 _L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -68,12 +68,18 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.special = [x["content"] for x in self.spec["added_tokens"]]
         self.marks = {x[:2].encode() for x in self.special}
         self.pieces, self.words = _Memo(self.piece), _Memo(lambda word: self.word(word.decode("utf-8", "replace")))
 
     def piece(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if piece.isascii() and piece.isprintable():  # the byte-level alphabet leaves these as they are
+            return self.fragments(piece)
+        return self.word(piece)
+
+    def fragments(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
 
     def word(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -117,11 +123,6 @@ class ForcedBoundaryEncoder(PieceEncoder):
         *inner, last = self.cut(piece)
         return [t.id for x in inner for t in self.inner.tokenize(x)] + [t.id for t in self.last.tokenize(last)]
 
-    def piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isprintable():  # the byte-level alphabet leaves these as they are
-            return self.fragments(piece)
-        return self.word(piece)
-
     def word(self, word: str) -> list[int]:
         if any(x in word for x in self.special):
             return super().word(word)
