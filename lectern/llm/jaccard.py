@@ -35,7 +35,9 @@ RECALL = 0.999999
 COORDINATES = 64
 SMALL, DEPTH, BRANCHES = 256, 4, 2
 #: Likenesses of signatures: from which two sets are candidates, and from which a pivot settles a set.
-CANDIDATE, SETTLED = 0.5, 0.92
+CANDIDATE, SETTLED = 0.5, 0.85
+#: Ways in which the members of a large bucket are dealt when they meet its pivot.
+SALTS = 32
 #: Most sets and shingles of a block; a tile compares two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 NO_ID = -(2**63)
@@ -179,7 +181,8 @@ def _candidates(sets: DataFrame) -> DataFrame:
     sigs = sets.select("rep", "sig")
     edges: DataFrame | None = None
     for depth in range(DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
+        # Written, so that the join that follows shuffles both sides and large buckets can be split between tasks.
+        sizes = materialize(level.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1"), "bucket-sizes")
         shared = materialize(level.join(sizes, "path"), "buckets")
         small = shared.filter(F.col("n") <= SMALL).select("path", "rep").join(sigs, "rep").select("path", "rep", "sig")
         found = small.repartition(shuffle_partitions(sets.sparkSession), "path").sortWithinPartitions("path", "rep").mapInArrow(_brute, "a long, b long")
@@ -189,7 +192,9 @@ def _candidates(sets: DataFrame) -> DataFrame:
             edges = found if edges is None else edges.unionByName(found)
             break
         pivot = large.select("pivot").distinct().join(sigs.withColumnRenamed("rep", "pivot").withColumnRenamed("sig", "pivot_sig"), "pivot")
-        split = large.join(sigs, "rep").join(pivot, "pivot").select("path", "rep", "sig", "pivot", "pivot_sig")
+        pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = large.join(sigs, "rep").withColumn("salt", F.pmod(F.xxhash64("rep", "path"), F.lit(SALTS)).cast("int"))
+        split = salted.join(pivot, ["pivot", "salt"]).select("path", "rep", "sig", "pivot", "pivot_sig")
         split = materialize(split.mapInArrow(_split(depth), "rep long, pivot long, near boolean, paths array<long>"), "splits")
         found = found.unionByName(split.filter("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         edges = found if edges is None else edges.unionByName(found)
@@ -298,9 +303,10 @@ def join(docs: DataFrame) -> DataFrame:
     classes = components(_candidates(shown)).select(F.col("id").alias("rep"), F.col("root").alias("class"))
     members = materialize(sets.join(classes, "rep"), "members")
     size = members.groupBy("class").agg(F.count("*").alias("_k"), F.sum("n").alias("_n"))
-    size = size.select("class", F.greatest(F.ceil(F.col("_k") / BLOCK_SETS), F.ceil(F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    size = materialize(size.select("class", F.greatest(F.ceil(F.col("_k") / BLOCK_SETS), F.ceil(F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "class-sizes")
     wanted = members.join(size, "class").select("rep", "class", "copies", "blocks", "s0", "s1")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep")
+    # Never a broadcast: how many candidates there are is not bounded, and the plan is the same at every size.
+    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep")
     whole = texts.mapInArrow(_sets, "rep long, class long, copies long, blocks int, shingles array<long>")
     n = shuffle_partitions(spark)
     tiles = (
