@@ -91,7 +91,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     rows = _rows(docs)
     seeds = rows.select("key", "text").mapInArrow(_seeds(window, gram), "key long, anchor long, content long, first int, windows int, again boolean")
     anchors = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("_lo"), F.max("content").alias("_hi"), F.max("again").alias("_again"))
-    anchors = anchors.filter("n > 1 or _again").select("anchor", F.expr("_lo = _hi and not _again").alias("alike"))
+    # Written, so that the join shuffles both sides and frequent anchors can be split between tasks.
+    anchors = materialize(anchors.filter("n > 1 or _again").select("anchor", F.expr("_lo = _hi and not _again").alias("alike")), "repeated-anchors")
     found = materialize(seeds.join(anchors, "anchor").drop("anchor", "again"), "repeated-stretches")
     whole = found.filter("alike").select("key", "first", (F.col("first") + F.col("windows") + (window - 1)).alias("end"))
 
@@ -105,7 +106,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     # Equal rows show the same stretch more than once.
     hashes = materialize(hashes.dropDuplicates(["content"]).join(kinds.select("content", "n"), "content"), "windows")
     each = hashes.select("content", "n", F.posexplode("hashes").alias("at", "hash"))
-    twice = each.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
+    twice = materialize(each.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"), "repeated-windows")
     marked = each.join(twice, "hash", "left_semi").groupBy("content").agg(F.collect_list("at").alias("_at"))
     parts = found.filter("not alike").join(marked, "content")
     parts = parts.select("key", F.expr(f"inline(transform(_at, x -> struct(first + x as first, first + x + {window} as end)))"))
@@ -158,5 +159,6 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the words of repeated windows removed; texts that lose nothing stay as they are."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), text)).join(repeats(docs, window, gram), "key", "left")
-    return keyed.select(*docs.columns, "ranges").mapInArrow(_cut_text(docs.columns), docs.schema)
+    found = repeats(docs, window, gram).select(F.col("key").alias("_repeats_of"), F.col("ranges").alias("_repeats"))
+    keyed = docs.withColumn("_repeats_of", F.xxhash64(F.col("doc_id").cast("long"), text)).join(found, "_repeats_of", "left")
+    return keyed.select(*docs.columns, "_repeats").mapInArrow(_cut_text(docs.columns), docs.schema)
