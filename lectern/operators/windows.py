@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.numbers import round_div
 from lectern.operators.ordered import prefix_sums
+from lectern.plans.shared import materialize
 
 #: Chunks in one range of a prefix sum or an as-of lookup.
 RANGE = 4096
@@ -65,12 +66,13 @@ def stable_windows(chunks: DataFrame, budget: int) -> DataFrame:
     """
     low, high = 3 * budget // 10, 7 * budget // 10
     step = max(1, high - low)
-    sums = with_prefix_sums(chunks)
+    # Numbers only, written once: every lookup below reads them again, and none should count tokens again.
+    sums = materialize(with_prefix_sums(chunks.select("corpus", "i", "tokens")), "prefix-sums")
     bounds = boundaries(sums)
     count = sums.groupBy("corpus").agg(F.count("*").alias("n"))
     rows = sums.join(count, "corpus").withColumn("_mid2", F.col("lo") + F.col("hi")).withColumn("_num", F.col("_mid2") - budget)
     rows = rows.withColumn("_snap", round_div("_num", str(2 * step)) * step)
-    rows = as_of(rows, "_snap", bounds, "p", "b", "_s0")
+    rows = materialize(as_of(rows, "_snap", bounds, "p", "b", "_s0"), "snapped")
     rows = rows.withColumn("_s0", F.least(F.col("n") - 1, F.greatest(F.lit(0), F.coalesce("_s0", F.lit(-1)))))
     # Three starts are tried: the two candidates and, for when neither window holds the chunk, the chunk itself.
     tries = rows.withColumn("_try", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))

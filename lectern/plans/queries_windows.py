@@ -9,6 +9,7 @@ from lectern.operators import embedding_splitter as es
 from lectern.operators import windows
 from lectern.plans import search
 from lectern.plans.catalog import TOKENS, query, table
+from lectern.plans.shared import materialize
 
 BUDGET = 8192
 
@@ -17,6 +18,10 @@ def _chunks(spark, sf_dir):
     return search.chunks_of(table(spark, sf_dir, "documents"))
 
 
+def _sums(spark, sf_dir):
+    return materialize(windows.with_prefix_sums(_chunks(spark, sf_dir).select("corpus", "i", "tokens")), "prefix-sums")
+
+
 _SUMS = f"""
 c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id, text, {TOKENS}::BIGINT AS tokens FROM documents),
 s AS (SELECT i, doc_id, text, tokens, (sum(tokens) OVER (ORDER BY i) - tokens)::BIGINT AS lo, (sum(tokens) OVER (ORDER BY i))::BIGINT AS hi FROM c),
@@ -52,7 +57,7 @@ def corpus_stats(spark, sf_dir):
 @query(f"""WITH {_SUMS}, x AS (SELECT i, i * 700 - 350 AS x FROM s)
 SELECT x.i, x.x, steps.b::BIGINT AS b FROM x ASOF LEFT JOIN steps ON x.x >= steps.p""")
 def asof_boundary(spark, sf_dir):
-    sums = windows.with_prefix_sums(_chunks(spark, sf_dir))
+    sums = _sums(spark, sf_dir)
     points = sums.select("corpus", "i", F.expr("i * 700 - 350").alias("x"))
     return windows.as_of(points, "x", windows.boundaries(sums), "p", "b", "b").select("i", "x", "b")
 
@@ -60,7 +65,7 @@ def asof_boundary(spark, sf_dir):
 @query(f"""WITH {_SUMS}, n AS (SELECT count(*) AS n FROM s)
 SELECT s.i, greatest(s.i + 1, least(n, steps.b))::BIGINT AS stop FROM (SELECT s.*, n FROM s, n) s ASOF JOIN steps ON s.lo + {BUDGET} >= steps.p""")
 def end_boundary(spark, sf_dir):
-    sums = windows.with_prefix_sums(_chunks(spark, sf_dir))
+    sums = _sums(spark, sf_dir)
     points = sums.select("corpus", "i", (F.col("lo") + BUDGET).alias("x"))
     found = windows.as_of(points, "x", windows.boundaries(sums), "p", "b", "b")
     found = found.join(sums.groupBy("corpus").agg(F.count("*").alias("n")), "corpus")
