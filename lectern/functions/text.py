@@ -143,3 +143,8 @@ def html_to_text(html: Column | str) -> Column:
 
 def unique_join(values: Column | str, separator: str = " | ") -> Column:
     return F.array_join(F.array_distinct(col(values)), separator)
+
+
+def long_enough(returned: Column, given: Column, fence: int = 11) -> Column:
+    """A repetition of a fenced text, by lengths without the fence, is at least 98 % of it."""
+    return 50 * (returned + fence) >= 49 * (given + fence)

@@ -36,7 +36,7 @@ def with_neighbours(members: DataFrame, chunks: DataFrame) -> DataFrame:
 def group_text(context: DataFrame) -> DataFrame:
     """corpus, island, text: the bodies of the chunks of a group and its neighbours, in order."""
     parts = context.groupBy("corpus", "island").agg(F.array_sort(F.collect_list(F.struct("num", body("text").alias("body")))).alias("_p"))
-    return parts.select("corpus", "island", F.array_join(F.transform("_p", lambda x: x["body"]), "\n").alias("text"))
+    return parts.select("corpus", "island", F.array_join(F.transform("_p", lambda x: x["body"]), "").alias("text"))
 
 
 def evidence(judgements: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def groups_ordered(spark, sf_dir):
 
 @query(f"""WITH {_HITS}, k AS (SELECT DISTINCT island, num + o AS num FROM runs, (SELECT unnest([-1, 0, 1]) AS o)),
 b AS (SELECT doc_id AS num, CASE WHEN contains(text, chr(10)) THEN substring(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents)
-SELECT island, count(*) AS chunks, sha256(string_agg(body, chr(10) ORDER BY num)) AS sha FROM k JOIN b USING (num) GROUP BY island""")
+SELECT island, count(*) AS chunks, sha256(string_agg(body, '' ORDER BY num)) AS sha FROM k JOIN b USING (num) GROUP BY island""")
 def group_context(spark, sf_dir):
     members = islands(_hits(spark, sf_dir), ["family"], "num").select(F.lit(0).alias("corpus"), "island", "num")
     chunks = table(spark, sf_dir, "documents").select(F.lit(0).alias("corpus"), F.col("doc_id").alias("num"), "text")

@@ -8,6 +8,7 @@ from lectern.functions.text import token_count
 from lectern.operators import runs
 from lectern.operators.windows import number_rows
 from lectern.plans.catalog import TOKENS, query, table
+from lectern.sources import books
 
 
 def _chunks(spark, sf_dir):
@@ -88,3 +89,44 @@ def manifest_diff(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     a, b = pages.filter("page_id % 3 <> 0").select("url").distinct(), pages.filter("page_id % 2 <> 0").select("url").distinct()
     return a.join(b, "url", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "url", "left_anti").withColumn("side", F.lit("added")))
+
+
+def _journals(spark, sf_dir):
+    """One cut journal per source: a meta record, cuts, some with broken positions, unknown types."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    kind = F.col("doc_id") % 7
+    record = (
+        F.when(kind == 0, F.to_json(F.struct(F.lit("meta").alias("type"), "doc_id")))
+        .when(kind == 1, F.to_json(F.struct(F.lit("cut").alias("type"), F.col("n_chars").cast("string").alias("pos"))))
+        .when(kind == 2, F.lit('{"type": "cu'))
+        .otherwise(F.to_json(F.struct(F.lit("cut").alias("type"), F.col("n_chars").alias("pos"))))
+    )
+    return docs.select(F.col("source").alias("path"), F.col("doc_id").alias("ordinal"), record.alias("record"))
+
+
+@query("SELECT source AS path, n_chars AS pos, doc_id AS ordinal FROM documents WHERE doc_id % 7 > 2")
+def cut_positions(spark, sf_dir):
+    return books.cut_positions(_journals(spark, sf_dir)).select("path", "ordinal", "pos")
+
+
+@query("""SELECT source AS path, '{"type":"meta","doc_id":' || min(doc_id) || '}' AS meta FROM documents WHERE doc_id % 7 = 0 GROUP BY source""")
+def cut_meta(spark, sf_dir):
+    return books.cut_meta(_journals(spark, sf_dir))
+
+
+@query("SELECT doc_id AS missing FROM documents WHERE doc_id > 0 AND doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id < (SELECT max(doc_id) FROM labels)")
+def output_gaps(spark, sf_dir):
+    names = table(spark, sf_dir, "labels").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".txt")).alias("filename"))
+    return books.gaps(names)
+
+
+@query("SELECT doc_id::VARCHAR AS filename, 'left' AS only FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unmatched_files(spark, sf_dir):
+    left, right = (table(spark, sf_dir, t).select(F.col("doc_id").cast("string").alias("filename")) for t in ("documents", "labels"))
+    return books.unmatched(left, right)
+
+
+@query("SELECT conv_id::VARCHAR AS document, string_agg(regexp_replace(text, '[ \\t\\n\\r]+$', ''), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+def joined_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document"), F.col("turn").alias("page_index"), F.col("text").alias("md"))
+    return books.joined_pages(pages)

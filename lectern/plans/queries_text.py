@@ -311,3 +311,17 @@ def wrap_lines(spark, sf_dir):
 def measure_pages(spark, sf_dir):
     rows = F.to_json(F.array(F.struct("doc_id", "source", "lang")))
     return layout.measured(_docs(spark, sf_dir).select("doc_id", rows.alias("json"), "text"))
+
+
+@query(f"SELECT doc_id, max(tokens) <= 600 AS complete FROM (SELECT doc_id, unnest([len(regexp_extract_all(substring(text, k * 3000 + 1, 3000), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r]')) FOR k IN range(0, length(text) // 3000 + 1)]) AS tokens FROM documents WHERE length(text) > 0) GROUP BY doc_id")
+def all_complete(spark, sf_dir):
+    """Whether every segment of a document is within the bound, at cuts every 3,000 characters."""
+    docs = _docs(spark, sf_dir).filter("length(text) > 0").withColumn("lo", F.explode(F.expr("sequence(0L, length(text) - 1L, 3000L)")))
+    segments = docs.select("doc_id", text.token_count(F.substring("text", F.col("lo").cast("int") + 1, F.lit(3000))).alias("tokens"))
+    return segments.groupBy("doc_id").agg(F.bool_and(F.col("tokens") <= 600).alias("complete"))
+
+
+@query("SELECT doc_id, length(text) + 11 >= 0.98 * (length(text) + 40 + 11) AS long_enough FROM documents")
+def length_ratio(spark, sf_dir):
+    """Whether a repetition that lacks 40 characters is within 98 % of the fenced text."""
+    return _docs(spark, sf_dir).select("doc_id", text.long_enough(F.length("text"), F.length("text") + 40).alias("long_enough"))

@@ -252,3 +252,148 @@ def test_streamed_journal(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     journal.start_journal(journal.judged_stream(stream, "license"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r.doc_id, r.is_relevant) for r in journal.read_journal(spark, str(tmp_path / "out")).collect()} == {(1, True), (2, False)}
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    from lectern.plans import commands
+
+    rng = random.Random(1)
+    words = ["river", "stone", "key", "night", "moon"]
+    for name in ("b.txt", "a.txt"):
+        (tmp_path / name).write_text("\n".join(" ".join(rng.choices(words, k=12)) for _ in range(400)))
+    out = str(tmp_path / "split")
+    n = commands.split(spark, [str(tmp_path / "b.txt"), str(tmp_path / "a.txt")], out)
+    first = (tmp_path / "split/chunks/000001.txt").read_text()
+    assert n == len(list((tmp_path / "split/chunks").iterdir())) and first.startswith("[Chunk 1/") and "b.txt" in first.split("\n")[0]
+    runs_dir = str(tmp_path / "runs")
+    path = commands.search(spark, f"{out}/chunks", runs_dir, "moon key", "about", 2000, 1)
+    whole = (tmp_path / "runs/0001.jsonl").read_text()
+    assert path.endswith("0001.jsonl") and whole.count("\x1e") == n + 1
+    # Cut off in the middle of a record, the run is resumed to the same state.
+    (tmp_path / "runs/0001.jsonl").write_text("\x1e".join(whole.split("\x1e")[: n - 2]) + "\x1e\n")
+    commands.search(spark, f"{out}/chunks", runs_dir, "moon key", "about", 2000, 1)
+    assert (tmp_path / "runs/0001.jsonl").read_text() == whole
+    assert commands.search(spark, f"{out}/chunks", runs_dir, "moon key", "about", 2000, 1).endswith("0002.jsonl")
+    order = commands.rank(spark, f"{out}/chunks", runs_dir, "stone", str(tmp_path / "order.csv"))
+    ranked = [int(x) for x in open(order).read().split(",")]
+    assert sorted(ranked) == list(range(1, n + 1))
+    hits = {i: sum(w == "stone" for w in (tmp_path / f"split/chunks/{i:06d}.txt").read_text().lower().split()) for i in ranked}
+    assert ranked == sorted(ranked, key=lambda i: (-hits[i], i))
+
+
+def test_rank_plan_beyond_the_skeleton(spark, monkeypatch):
+    from lectern.plans.rank import rank_items
+
+    monkeypatch.setattr(rank, "SKELETON", 12)
+    items = spark.createDataFrame([(i, f"{i:06d}.txt") for i in range(40)], "item long, filename string")
+
+    def judge(games):
+        return games.withColumn("winner", F.when(F.col("left") < F.col("right"), "left").otherwise("right"))
+
+    real = rank.skeleton
+    monkeypatch.setattr(rank, "skeleton", lambda df, **k: real(df, size=12))
+    found = {r.item: r["rank"] for r in rank_items(items, judge, "corrected").collect()}
+    assert sorted(found.values()) == list(range(1, 41))
+    # All tiers fit into the top block, so its items come first, in their own order, and the anchors after them.
+    anchors = {round(i * 39 / 11) for i in range(12)}
+    assert sorted(found, key=found.get) == [i for i in range(40) if i not in anchors] + sorted(anchors)
+
+
+def test_books(spark):
+    from lectern.plans.present import pretty_books, yellow_books
+    from lectern.sources import books
+
+    chunks = spark.createDataFrame([(i, f"{i:06d}.txt", f"[Chunk {i}]\nbody <b>{i}</b> moon\n") for i in range(1, 21)], "num long, filename string, content string")
+    judged = spark.createDataFrame([(i, 0, f"e{i}") for i in (3, 4, 9, *range(11, 18))] + [(3, 1, "more")], "num long, ordinal int, evidence string")
+    order = spark.createDataFrame([(n, r) for r, n in enumerate([9, 4, 3, *range(11, 18)], 1)], "num long, rank int")
+    found = pretty_books(judged, chunks, order).orderBy("group_id").collect()
+    assert [[x.chunk_filename for x in r.rows] for r in found] == [["000009.txt"], ["000003.txt", "000004.txt"], [f"{i:06d}.txt" for i in range(11, 18)]]
+    assert found[1].text == "body 2 moon body 3 moon body 4 moon body 5 moon" and found[1].rows[0].evidence_text == "e3 | more" and found[1].rows[0].relevance_score == "3/10"
+    assert found[2].text == " ".join(f"body {i} moon" for i in range(10, 19))
+    back = spark.createDataFrame([(found[1].file,)], "f string").select(files.pretty("f").alias("p")).first().p
+    assert back.inner == found[1].text and back.rows[0].chunk_info == "[Chunk 3]" and back.blocks == 1
+    yellow = yellow_books(pretty_books(judged, chunks, order), "moon").filter("group_id = 1").first().file
+    assert yellow.startswith("[") and yellow.count("<mark-yellow>moon</mark-yellow>") == 3
+    names = spark.createDataFrame([("000001.txt",), ("000004.txt",), ("x.txt",)], "filename string")
+    assert [r.missing for r in books.gaps(names).orderBy("missing").collect()] == [2, 3]
+    assert {(r.filename, r.only) for r in books.unmatched(names, names.filter("filename <> 'x.txt'")).collect()} == {("x.txt", "left")}
+    pages = spark.createDataFrame([("d", 1, "two\n"), ("d", 0, "one \n")], "document string, page_index int, md string")
+    assert books.joined_pages(pages).first().markdown == "one\n\ntwo"
+
+
+def test_journals_of_cuts_and_ranks(spark):
+    from lectern.sources import books
+
+    rows = [("p", 0, '{"type": "meta", "n": 1}'), ("p", 1, '{"type": "cut", "pos": 5}'), ("p", 2, '{"type": "meta", "n": 2}'), ("p", 3, '{"type": "cut", "pos": "6"}'), ("p", 4, '{"type": "other"}'), ("p", 5, '{"type": "cut", "pos": 9}')]
+    df = spark.createDataFrame(rows, "path string, ordinal int, record string")
+    assert books.cut_meta(df).first().meta.endswith('"n": 1}')
+    assert [r.pos for r in books.cut_positions(df).orderBy("ordinal").collect()] == [5, 9]
+    base = [{"type": "meta", "algo": "x", "created_at": "a"}, {"type": "skeleton", "ids": [1, 2]}, {"type": "cmp", "stage": "skeleton", "left": 1, "right": 2}, {"type": "bt_summary", "stage": "skeleton", "order": [2, 1]}, {"type": "probe", "stage": "bracket", "item": 3, "pivot": 1}, {"type": "confirm", "stage": "bracket", "item": 3, "against": 1}, {"type": "bracket_decision", "stage": "bracket", "item": 3, "tier": 1}]
+    state = books.replay(base)
+    assert state.skeleton == [1, 2] and state.orders["skeleton"] == [2, 1] and state.tiers == {3: 1} and (3, 1) in state.probes and len(state.games["skeleton"]) == 1
+    for bad in ({"type": "skeleton", "ids": []}, {"type": "cmp", "stage": "?"}, {"type": "?"}, {"type": "bt_summary", "stage": "skeleton", "order": []}):
+        with pytest.raises(LecternError):
+            books.replay([*base, bad])
+    books.same_meta({"a": 1, "created_at": 1}, {"a": 1, "created_at": 2})
+    with pytest.raises(LecternError):
+        books.same_meta({"a": 1}, {"a": 2})
+    assert books.log_name("a/x y.pdf") != books.log_name("b/x y.pdf")
+
+
+def test_chat_steps():
+    from lectern import chat
+
+    def script(*answers):
+        left = list(answers)
+
+        def call(messages):
+            x = left.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        return call
+
+    segment = "one two three four five six seven eight nine ten " * 4
+    assert chat.Splitter([script("no", '{"begin_second_section": "zzz"}', 'so {"begin_second_section": "six seven"}')])(segment) == segment.find("six seven")
+    assert chat.Splitter([script(*["no"] * 3), script(LecternError("length"))])(segment) == splitter.delimiter_split(segment)
+    judge = chat.PairJudge(script(ValueError(), '{"winner": "C"}', '{"winner": "B", "rationale": "r"}'), "q")
+    assert judge({}, {}) == ("right", "r")
+    with pytest.raises(LecternError):
+        chat.PairJudge(script(*["{}"] * 5), "q")({}, {})
+    assert chat.Cleaner(script("no", "```txt\nclean\n```"))("raw") == "clean" and chat.Cleaner(script(*["no"] * 6))("raw") == "raw"
+    text = "a moon over the river " * 10
+    good = "```txt\n" + text.replace("moon", "<mark-yellow>moon</mark-yellow>", 1) + "\n```"
+    light = chat.Highlighter((script("```txt\nshort\n```", "```txt\n" + text + "<mark-yellow>\n```", good), script()), "moon", exact=True)
+    assert light(text, ["e"]) == text.replace("moon", "<mark-yellow>moon</mark-yellow>", 1)
+    with pytest.raises(LecternError):
+        chat.Highlighter((script(*["x"] * 4), script(*["x"] * 4)), "moon")(text, ["e", "f"])
+    page = "<<<MD_START page=000007>>>\n# T\n<<<MD_END page=000007>>>"
+    waits = []
+    assert chat.Transcriber((script(ValueError(), "x", "y"), script(page)), wait=waits.append)("", 7) == ("# T", 4) and waits == [1]
+    assert "".join(chat.even_parts(segment, 5)) == segment and len(chat.even_parts("ab\ncd\nef", 3)) == 3
+
+
+def test_config():
+    from lectern.config import Config
+
+    c = Config.from_environment({"LECTERN_HOST": "box", "LECTERN_MODEL_HYBRID": "qwen3:32b"})
+    assert c.host == "http://box:11434" and c.client("hybrid").model == "qwen3:32b"
+    with pytest.raises(LecternError):
+        c.client("vision")
+
+
+def test_ingest(spark, tmp_path):
+    from lectern.plans import ingest
+
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    stored = ingest.planned(str(tmp_path), None)
+    (tmp_path / "b.pdf").write_bytes(b"y")
+    with pytest.raises(LecternError):
+        ingest.planned(str(tmp_path), stored)
+    assert ingest.read_pdfs(spark, str(tmp_path)).count() == 2
+    log = spark.createDataFrame([("a", "failed", 1), ("a", "success", 2), ("b", "success", 3), ("b", "failed", 4)], "pdf string, status string, line_no int")
+    assert [r.pdf for r in ingest.to_convert(log.select("pdf").distinct(), log).collect()] == ["b"]
+    pages = spark.createDataFrame([("d", 0, bytearray(b"p")), ("d", 1, bytearray(b"q"))], "document string, page_index int, png binary")
+    done = ingest.transcribed(pages, lambda image, page: (f"# {page}", 1), spark.createDataFrame([("d", 0)], "document string, page_index int"))
+    assert [(r.page_index, r.md) for r in done.collect()] == [(1, "# 2")]
