@@ -45,20 +45,20 @@ def prefix_sums(df: DataFrame, bucket: str, order: list, value: Column, group: l
     and bucket) is ordered as a whole; the rows themselves are sorted within (group, bucket).
     """
     group = group or []
-    rows = df.withColumn("_v", value)
-    sums = rows.groupBy(*group, bucket).agg(F.sum("_v").alias("_s"))
+    rows = df.withColumn("__v", value)
+    sums = rows.groupBy(*group, bucket).agg(F.sum("__v").alias("__s"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy()
     earlier = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col(bucket).alias("_b"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_off")
+        *[F.col(g).alias(f"__g_{g}") for g in group], F.col(bucket).alias("__b"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__off")
     )
     local = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    on = F.col(bucket).eqNullSafe(F.col("_b"))
+    on = F.col(bucket).eqNullSafe(F.col("__b"))
     for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
     return (
-        rows.withColumn("_in", F.coalesce(F.sum("_v").over(local), F.lit(0)))
+        rows.withColumn("__in", F.coalesce(F.sum("__v").over(local), F.lit(0)))
         .join(offsets, on)
-        .withColumn(out, F.col("_in") + F.col("_off"))
-        .drop("_v", "_in", "_off", "_b", *[f"_g_{g}" for g in group])
+        .withColumn(out, F.col("__in") + F.col("__off"))
+        .drop("__v", "__in", "__off", "__b", *[f"__g_{g}" for g in group])
     )

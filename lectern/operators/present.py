@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import body, unique_join
-from lectern.operators.windows import islands
+from lectern.operators.ordered import prefix_sums
+from lectern.operators.windows import RANGE, islands
 
 #: Most chunks of a group that are cleaned in one call, and most content pages of a cover.
 PART, COVER_PAGES = 5, 20
@@ -16,8 +17,9 @@ def grouped(hits: DataFrame, family: list[str]) -> DataFrame:
     """Add ``island``, ``size`` and ``group_rank``: runs of neighbouring hits, in the order of their best rank."""
     runs = islands(hits, family, "num")
     groups = runs.groupBy(*family, "island").agg(F.count("*").alias("size"), F.min("rank").alias("best"))
-    groups = groups.withColumn("group_rank", F.row_number().over(Window.orderBy("best", *family, "island")))
-    return runs.join(groups, [*family, "island"])
+    groups = groups.withColumn("_range", F.expr(f"floor(best / {RANGE})"))
+    groups = prefix_sums(groups, "_range", ["best", *family, "island"], F.lit(1).cast("long"), None, "_before")
+    return runs.join(groups.withColumn("group_rank", F.col("_before") + 1).drop("_before", "_range"), [*family, "island"])
 
 
 def even_parts(n: Column, place: Column, size: int = PART) -> Column:

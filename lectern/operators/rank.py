@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordered import prefix_sums
 from lectern.plans.shared import materialize
 
 SKELETON, TOP, CONFIRMATIONS = 120, 60, 2
@@ -135,4 +136,7 @@ def final_order(tiers: DataFrame, anchors: DataFrame, block: DataFrame | None =
     if block is not None:
         first = block.select("item", F.lit(0).alias("_t"), F.lit(0).alias("_a"), F.lit("").alias("filename"), F.lit(0).alias("_b"), F.col("rank").cast("int").alias("_r"))
         rest = first.unionByName(rest.join(block, "item", "left_anti"))
-    return rest.select("item", F.row_number().over(Window.orderBy("_b", "_r", "_t", "_a", "filename", "item")).alias("rank"))
+    # Tiers are the buckets of the order: each is sorted by itself.
+    rest = rest.withColumn("_tier", F.when(F.col("_b") == 0, -1).otherwise(F.col("_t")))
+    order = prefix_sums(rest, "_tier", ["_r", "_a", "filename", "item"], F.lit(1).cast("long"), None, "_before")
+    return order.select("item", (F.col("_before") + 1).alias("rank"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.models import LecternError
+from lectern.operators.windows import number_rows
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ def pending(selected: DataFrame, judgements: DataFrame) -> DataFrame:
 def refined(chunks: DataFrame, judgements: DataFrame) -> DataFrame:
     """The chunks that were judged relevant, with their position in the next run (1-based)."""
     kept = chunks.join(judgements.filter("is_relevant"), "original_index", "left_semi")
-    return kept.withColumn("position", F.row_number().over(Window.orderBy("original_index")))
+    return number_rows(kept, "original_index", "_place").withColumn("position", F.col("_place") + 1).drop("_place")
 
 
 def selected(positions: DataFrame, chunks: DataFrame, strict: bool = True) -> DataFrame:

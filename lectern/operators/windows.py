@@ -98,10 +98,10 @@ def stable_windows(chunks: DataFrame, budget: int) -> DataFrame:
 
 
 def cache_misses(windows: DataFrame) -> DataFrame:
-    """corpus, misses: how often the start changes from one chunk to the next."""
-    order = Window.partitionBy("corpus").orderBy("i")
-    changed = windows.withColumn("_was", F.lag("start").over(order))
-    return changed.groupBy("corpus").agg(F.sum(F.when(F.col("_was") != F.col("start"), 1).otherwise(0)).cast("long").alias("misses"))
+    """corpus, misses: how often the start changes from one chunk to the next. Neighbours meet by a join, not in one sorted task."""
+    after = windows.select("corpus", (F.col("i") - 1).alias("i"), F.col("start").alias("_next"))
+    both = windows.select("corpus", "i", "start").join(after, ["corpus", "i"], "left")
+    return both.groupBy("corpus").agg(F.sum(F.when(F.col("_next") != F.col("start"), 1).otherwise(0)).cast("long").alias("misses"))
 
 
 def context_members(windows: DataFrame) -> DataFrame:
@@ -116,8 +116,12 @@ def context_texts(windows: DataFrame, chunks: DataFrame, separator: str = "\n---
     return parts.select("corpus", "start", "stop", F.array_join(F.transform("_p", lambda x: x["text"]), separator).alias("context"))
 
 
-def islands(df: DataFrame, family: list[str | Column], num: str) -> DataFrame:
-    """Add ``island``: the first number of the run of consecutive numbers that the row is in, within its family."""
-    order = Window.partitionBy(*family).orderBy(num)
-    shifted = df.withColumn("_d", F.col(num) - F.row_number().over(order))
-    return shifted.withColumn("island", F.min(num).over(Window.partitionBy(*family, "_d"))).drop("_d")
+def islands(df: DataFrame, family: list[str], num: str) -> DataFrame:
+    """Add ``island``: the first number of the run of consecutive numbers that the row is in, within its family.
+
+    A number without a predecessor starts an island; every number belongs to the latest start before it.
+    """
+    rows = df.withColumn("_family", F.xxhash64(*family)).withColumn("_num", F.col(num).cast("long"))
+    starts = rows.select("_family", "_num").distinct()
+    starts = starts.join(starts.select("_family", (F.col("_num") + 1).alias("_num")), ["_family", "_num"], "left_anti")
+    return as_of(rows, "_num", starts, "_num", "_num", "island", group="_family").drop("_family", "_num")

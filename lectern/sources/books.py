@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.models import LecternError
@@ -108,9 +108,8 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 def gaps(names: DataFrame, column: str = "filename") -> DataFrame:
     """missing: the numbers below the greatest that no name has; a resumable output has none."""
     numbers = names.select(F.regexp_extract(column, r"^(\d{6})\.txt$", 1).alias("_n")).filter("_n <> ''").select(F.col("_n").cast("long").alias("n")).distinct()
-    order = Window.orderBy("n")
-    before = numbers.withColumn("_was", F.coalesce(F.lag("n").over(order), F.lit(0)))
-    return before.filter("n - _was > 1").select(F.explode(F.sequence(F.col("_was") + 1, F.col("n") - 1)).alias("missing"))
+    most = numbers.agg(F.max("n")).first()[0] or 1
+    return names.sparkSession.range(1, most).select(F.col("id").alias("missing")).join(numbers.withColumnRenamed("n", "missing"), "missing", "left_anti")
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str = "filename") -> DataFrame:

@@ -11,11 +11,12 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import code_block, code_blocks, universal_newlines, visible
 from lectern.models import LecternError
+from lectern.operators.ordered import prefix_sums
 
 RS = "\x1e"
 
@@ -40,7 +41,9 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     """original_index (1-based over sorted names), filename, content of a directory of chunks."""
     files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("content"))
-    return files.withColumn("original_index", F.row_number().over(Window.orderBy("filename")))
+    # The beginning of a name is a bucket of the sorted order.
+    files = prefix_sums(files.withColumn("_range", F.substring("filename", 1, 4)), "_range", ["filename"], F.lit(1).cast("long"), None, "_before")
+    return files.select("filename", "content", (F.col("_before") + 1).cast("int").alias("original_index"))
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
