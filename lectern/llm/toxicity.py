@@ -2,7 +2,8 @@
 
 Folding lower-cases, maps homoglyphs to Latin letters and digit substitutions to the letters they stand for. The lexicon is
 learned from labelled rows: beginnings of words and whole words, weighted by their smoothed log-odds of document frequency in
-toxic against other documents, and kept only as long as they explain toxic documents that no stronger entry explains.
+toxic against other documents, and kept only if they occur in toxic documents that no stronger entry of the same beginning
+explains. Near copies, by the least hash of their shingles, are learned from once, since their common words prove nothing.
 Longer beginnings that contain an entry but are common in clean documents become exceptions and mask the matches inside
 them, as do the exception phrases given. The weights found, by themselves and normalised by length, give a score by logistic
 regression. Fitting uses a bounded sample of labelled rows; scoring reads every whole text.
@@ -24,14 +25,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.jaccard import shingles
+
 #: Most toxic and most other labelled rows that the lexicon is fitted on, taken in the order of a hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
 #: Most candidates and most entries of the lexicon.
 MAX_CANDIDATES = 4_096
-#: Toxic documents that an entry must occur in, and those not explained before that it must add.
-MIN_DOCS, MIN_NEW = 5, 3
-#: Least log-odds of an entry: ten times likelier in toxic documents.
-MIN_WEIGHT = math.log(10)
+#: Toxic documents that an entry must occur in, beyond those that a stronger entry of the same beginning explains.
+MIN_DOCS = 4
+#: Least log-odds of an entry (eight times likelier in toxic documents), and least log-odds times toxic documents.
+MIN_WEIGHT, MIN_EVIDENCE = math.log(8), 20.0
 PREFIXES = range(4, 9)
 #: Phrases within which a match does not count.
 EXCEPTIONS = ("dumb waiter", "dumb bell", "trash can", "trash bin", "class clown", "clown fish", "scum line")
@@ -148,6 +151,14 @@ def _count(batches):
     yield out()
 
 
+def _least_shingle(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        least = [int(x[0]) if len(x) else 0 for x in (shingles((t or "").encode()) for t in batch.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(least, np.uint64).view(np.int64))], names=["text", "_toxic", "_like"])
+
+
 def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
     """text, toxic of the training sample: a bounded number of ids, so it may be broadcast, and no text is shuffled."""
     train = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 != 0
@@ -158,7 +169,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int)
     )
     order = F.xxhash64("_id")
     some = known.filter("_toxic = 1").orderBy(order, "_id").limit(max_toxic).unionAll(known.filter("_toxic = 0").orderBy(order, "_id").limit(max_clean))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    found = found.select("text", "_toxic").mapInArrow(_least_shingle, "text string, _toxic int, _like long")
+    return found.groupBy("_toxic", "_like").agg(F.min("text").alias("text")).select("text", "_toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
@@ -173,11 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     counts = sample.mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     counts = materialize(counts.filter((F.col("pos") >= MIN_DOCS) | (F.col("neg") >= MIN_DOCS)).withColumn("weight", odds), "toxic-counts")
-    rank = F.col("weight") * F.sqrt("pos")
-    found = counts.filter((F.col("pos") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT)).orderBy(rank.desc(), "feature").limit(MAX_CANDIDATES).collect()
+    rank = F.col("weight") * F.col("pos")
+    strong = (F.col("pos") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT) & (F.col("weight") * F.col("pos") >= MIN_EVIDENCE)
+    found = counts.filter(strong).orderBy(rank.desc(), "feature").limit(MAX_CANDIDATES).collect()
     candidates = Model(tuple((r["feature"], r["weight"]) for r in found))
     rows = sample.mapInArrow(_entries(candidates), "toxic int, entries array<string>").collect()  # at most the two bounds
-    kept = _explaining([set(r["entries"]) for r in rows if r["toxic"]], {r["feature"]: r["weight"] * math.sqrt(r["pos"]) for r in found})
+    kept = _explaining([set(r["entries"]) for r in rows if r["toxic"]], {r["feature"]: r["weight"] * r["pos"] for r in found})
     weights = tuple((r["feature"], float(r["weight"])) for r in found if r["feature"] in kept)
     stems = sorted(x for x, _ in weights if not x.endswith(" "))
     benign = []
@@ -192,20 +206,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
 
 def _explaining(docs: list[set[str]], rank: dict[str, float]) -> set[str]:
-    """Entries taken greedily by the toxic documents they add, stronger ones first among equals."""
+    """Entries by falling rank, as far as they add documents to those of entries that begin alike."""
     where: dict[str, set[int]] = {}
     for i, entries in enumerate(docs):
         for x in entries:
             where.setdefault(x, set()).add(i)
-    kept, left = set(), {i for i, x in enumerate(docs) if x}
-    while where:
-        best = max(where, key=lambda x: (len(where[x] & left), rank[x], x))
-        new = where.pop(best) & left
-        if len(new) < MIN_NEW:
-            break
-        kept.add(best)
-        left -= new
-    return kept
+    kept: dict[str, set[int]] = {}
+    for x in sorted(where, key=lambda x: (-rank[x], x)):
+        stem = x.rstrip(" ")
+        alike = [d for y, d in kept.items() if y.rstrip(" ").startswith(stem) or stem.startswith(y.rstrip(" "))]
+        if len(where[x].difference(*alike)) >= MIN_DOCS:
+            kept[x] = where[x]
+    return set(kept)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
