@@ -1,17 +1,20 @@
 """Splitting by embeddings: windows, boundary strengths on a grid, cuts by dynamic programming, nudging.
 
-All of one document happens in one worker, in vectors: cosines of neighbouring windows come from one product of matrices, and
-the averages that a boundary needs from sums over its blocks.
+All of one document happens in one worker, in vectors: cosines come from one product of matrices, and the averages that all
+boundaries need from sums over blocks of it.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.splitter import _token
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -39,31 +42,53 @@ def window_starts(length: int, size: int, stride: int) -> np.ndarray:
     return np.stack([start, end, (start + end) // 2], 1)
 
 
-def _mean_pairs(gram: np.ndarray) -> float:
-    n = len(gram)
-    return 1.0 if n < 2 else float((gram.sum() - np.trace(gram)) / (n * (n - 1)))
+class _Blocks:
+    """Sums of blocks of a symmetric matrix of cosines, many at once, from an integral image."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.gram = vectors @ vectors.T
+        self.image = np.zeros((len(vectors) + 1, len(vectors) + 1))
+        self.image[1:, 1:] = self.gram.cumsum(0).cumsum(1)
+
+    def sum(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Rows a to b, columns c to d."""
+        s = self.image
+        return s[b, d] - s[a, d] - s[b, c] + s[a, c]
+
+    def mean_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Mean cosine of the pairs within a to b; 1 if there is no pair."""
+        n, own = b - a, np.concatenate(([0.0], np.cumsum(np.diagonal(self.gram))))
+        return np.where(n < 2, 1.0, (self.sum(a, b, a, b) - own[b] + own[a]) / np.maximum(n * (n - 1), 1))
+
+    def mean_steps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Mean cosine of neighbours within a to b; 1 if there are none."""
+        steps = np.concatenate(([0.0], np.cumsum(np.diagonal(self.gram, 1))))
+        n, a = b - a - 1, np.minimum(a, len(steps) - 1)
+        return np.where(n < 1, 1.0, (steps[a + np.maximum(n, 0)] - steps[a]) / np.maximum(n, 1))
+
+    def mean_across(self, at: np.ndarray, m: np.ndarray, nearest: bool) -> np.ndarray:
+        """Mean cosine of m pairs across ``at``: by rank, or nearest with nearest."""
+        out = np.zeros(len(at))
+        for i in range(int(m.max(initial=0))):
+            use = i < m
+            left = at[use] - 1 - i if nearest else at[use] - m[use] + i
+            out[use] += self.gram[left, at[use] + i]
+        return out / np.maximum(m, 1)
 
 
 def boundary_scores(length: int, coarse: np.ndarray, fine: np.ndarray, s: Settings = Settings()) -> dict[int, float]:
     """Strength of a boundary at each grid point, from unit vectors of the coarse and the fine windows."""
-    where = [window_starts(length, *w)[:, 2] for w in (s.coarse, s.fine)]
-    grams = [x @ x.T for x in (coarse, fine)]
-    out = {}
-    for t in range(s.grid, length + 1, s.grid):
-        c, f = (int(np.searchsorted(w, t)) for w in where)
-        c0, c1 = max(0, c - s.coarse_sides), min(len(coarse), c + s.coarse_sides)
-        f0, f1 = max(0, f - s.fine_sides), min(len(fine), f + s.fine_sides)
-        m = min(f - f0, f1 - f)
-        if c == c0 or c == c1 or m == 0:
-            out[t] = 0.0
-            continue
-        g, h = grams
-        novelty = max(0.0, (_mean_pairs(g[c0:c, c0:c]) + _mean_pairs(g[c:c1, c:c1])) / 2 - float(g[c0:c, c:c1].mean()))
-        left, right = (float(np.diagonal(h[a:b, a:b], 1).mean()) if b - a > 1 else 1.0 for a, b in ((f0, f), (f, f1)))
-        lefts = np.arange(f - m, f)
-        cross = float(h[lefts[::-1] if s.nearest_pairs else lefts, np.arange(f, f + m)].mean())
-        out[t] = novelty * left * right / (cross + s.delta)
-    return out
+    grid = np.arange(s.grid, length + 1, s.grid)
+    c, f = (np.searchsorted(window_starts(length, *w)[:, 2], grid) for w in (s.coarse, s.fine))
+    c0, c1 = np.maximum(0, c - s.coarse_sides), np.minimum(len(coarse), c + s.coarse_sides)
+    f0, f1 = np.maximum(0, f - s.fine_sides), np.minimum(len(fine), f + s.fine_sides)
+    m = np.minimum(f - f0, f1 - f)
+    whole, close = _Blocks(coarse), _Blocks(fine)
+    across = whole.sum(c0, c, c, c1) / np.maximum((c - c0) * (c1 - c), 1)
+    novelty = np.maximum(0.0, (whole.mean_pairs(c0, c) + whole.mean_pairs(c, c1)) / 2 - across)
+    strength = novelty * close.mean_steps(f0, f) * close.mean_steps(f, f1) / (close.mean_across(f, m, s.nearest_pairs) + s.delta)
+    strength = np.where((c == c0) | (c == c1) | (m == 0), 0.0, strength)
+    return dict(zip(grid.tolist(), strength.tolist(), strict=True))
 
 
 def choose_cuts(length: int, strength: dict[int, float], s: Settings = Settings()) -> list[int]:
@@ -102,16 +127,23 @@ def nudged(cuts: list[int], length: int, strength: dict[int, float], s: Settings
     return new
 
 
-def hashed_vector(tokens: list[str], size: int = 64) -> np.ndarray:
-    """The default embedding: signed counts of hashed tokens, of unit length."""
-    import zlib
+def hashed_vectors(tokens: list[str], windows: np.ndarray, size: int = 64) -> np.ndarray:
+    """The default embedding of windows of tokens: signed counts of hashed tokens, of unit length."""
+    h = np.fromiter((zlib.crc32(t.encode()) for t in tokens), np.int64, len(tokens))
+    counts = np.zeros((len(tokens) + 1, size))
+    counts[np.arange(1, len(tokens) + 1), h % size] = np.where(h & 0x80000000, 1, -1)
+    counts = counts.cumsum(0)
+    out = counts[windows[:, 1]] - counts[windows[:, 0]]
+    norm = np.sqrt((out * out).sum(1))
+    return np.where(norm[:, None] > 0, out / np.maximum(norm, 1e-9)[:, None], size**-0.5)
+
 
-    out = np.zeros(size)
-    for t in tokens:
-        h = zlib.crc32(t.encode())
-        out[h % size] += 1 if h & 0x80000000 else -1
-    norm = np.linalg.norm(out)
-    return out / norm if norm else np.full(size, size**-0.5)
+def _scored(text: str | None, s: Settings) -> tuple[int, dict[int, float]]:
+    """Tokens of a text, and the strengths of its grid points."""
+    tokens = _token.findall((text or "").lower())
+    if not tokens:
+        return 0, {}
+    return len(tokens), boundary_scores(len(tokens), *[hashed_vectors(tokens, window_starts(len(tokens), *w)) for w in (s.coarse, s.fine)], s)
 
 
 def split_by_embedding(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -120,16 +152,12 @@ def split_by_embedding(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        from lectern.operators.splitter import _token
-
         for rows in batches:
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                tokens = _token.findall((text or "").lower())
-                vectors = [np.array([hashed_vector(tokens[a:b]) for a, b, _ in window_starts(len(tokens), *w)]).reshape(-1, 64) for w in (s.coarse, s.fine)]
-                strength = boundary_scores(len(tokens), *vectors, s) if tokens else {}
-                at = nudged(choose_cuts(len(tokens), strength, s), len(tokens), strength, s) if tokens else [0]
-                out.append((doc_id, len(tokens), at, [round(strength.get(t, 0.0), 9) for t in at]))
+                n, strength = _scored(text, s)
+                at = nudged(choose_cuts(n, strength, s), n, strength, s) if n else [0]
+                out.append((doc_id, n, at, [round(strength.get(t, 0.0), 9) for t in at]))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "cuts", "strengths"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, cuts array<int>, strengths array<double>")
@@ -141,15 +169,9 @@ def grid_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        from lectern.operators.splitter import _token
-
         for rows in batches:
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                tokens = _token.findall((text or "").lower())
-                if tokens:
-                    vectors = [np.array([hashed_vector(tokens[a:b]) for a, b, _ in window_starts(len(tokens), *w)]) for w in (s.coarse, s.fine)]
-                    strength = boundary_scores(len(tokens), *vectors, s)
-                    yield pd.DataFrame({"doc_id": [doc_id] * len(strength), "t": list(strength), "strength": [round(x, 9) for x in strength.values()]})
+            out = [(d, t, round(x, 9)) for d, text in zip(rows["doc_id"], rows["text"], strict=True) for t, x in _scored(text, s)[1].items()]
+            yield pd.DataFrame(out, columns=["doc_id", "t", "strength"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, t int, strength double")
 

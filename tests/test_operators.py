@@ -221,6 +221,33 @@ def test_embedding_cuts(length):
     assert length < 320 or all(b - a <= 1024 for a, b in zip(at, at[1:]))
 
 
+@pytest.mark.parametrize("length, nearest", [(700, False), (2500, True), (4000, False)])
+def test_boundary_scores(length, nearest):
+    """Against averages over all pairs, one boundary at a time."""
+    rng = np.random.default_rng(length)
+    s = es.Settings(nearest_pairs=nearest)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(n, 8)))
+    wide, narrow = es.window_starts(length, *s.coarse), es.window_starts(length, *s.fine)
+    coarse, fine = unit(len(wide)), unit(len(narrow))
+    got = es.boundary_scores(length, coarse, fine, s)
+    mean = lambda x: sum(x) / len(x) if x else 1.0
+    for t in range(16, length + 1, 16):
+        sides = []
+        for windows_, vectors_, k in ((wide, coarse, 5), (narrow, fine, 4)):
+            sides.append([v for w, v in zip(windows_, vectors_) if w[2] < t][-k:])
+            sides.append([v for w, v in zip(windows_, vectors_) if w[2] >= t][:k])
+        lc, rc, lf, rf = sides
+        m = min(len(lf), len(rf))
+        if not lc or not rc or not m:
+            assert got[t] == 0
+            continue
+        inner = (mean([a @ b for a, b in combinations(lc, 2)]) + mean([a @ b for a, b in combinations(rc, 2)])) / 2
+        novelty = max(0.0, inner - mean([a @ b for a in lc for b in rc]))
+        steps = [mean([a @ b for a, b in zip(x, x[1:])]) for x in (lf, rf)]
+        across = mean([a @ b for a, b in zip(lf[-m:][::-1] if nearest else lf[-m:], rf)])
+        assert got[t] == pytest.approx(novelty * steps[0] * steps[1] / (across + s.delta), rel=1e-6, abs=1e-9)
+
+
 def test_models(spark):
     with pytest.raises(LecternError):
         models.ChatClient("http://h", "nobody").options()
