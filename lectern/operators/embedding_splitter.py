@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.splitter import _token
+from lectern.plans.shared import spread
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,7 @@ def split_by_embedding(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 out.append((doc_id, n, at, [round(strength.get(t, 0.0), 9) for t in at]))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "cuts", "strengths"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, cuts array<int>, strengths array<double>")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, n_tokens long, cuts array<int>, strengths array<double>")
 
 
 def grid_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -173,7 +174,7 @@ def grid_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             out = [(d, t, round(x, 9)) for d, text in zip(rows["doc_id"], rows["text"], strict=True) for t, x in _scored(text, s)[1].items()]
             yield pd.DataFrame(out, columns=["doc_id", "t", "strength"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, t int, strength double")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, t int, strength double")
 
 
 def nearest_windows(length: str, t: str, size: int, stride: int, sides: int) -> tuple[F.Column, F.Column]:

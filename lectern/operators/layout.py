@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.shared import spread
+
 Width = Callable[[str], float]
 
 
@@ -121,7 +123,7 @@ def wrapped_lines(texts: DataFrame, page: Page = Page()) -> DataFrame:
                     out.append((doc_id, i, "".join(x for x, _ in line), sum(len(x) for x, m in line if m)))
             yield pd.DataFrame(out, columns=["doc_id", "line_no", "line", "marked_chars"])
 
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, line_no int, line string, marked_chars int")
+    return spread(texts.select("doc_id", "text")).mapInPandas(run, "doc_id long, line_no int, line string, marked_chars int")
 
 
 def measured(groups: DataFrame, page: Page = Page()) -> DataFrame:
@@ -133,4 +135,4 @@ def measured(groups: DataFrame, page: Page = Page()) -> DataFrame:
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows["doc_id"], "pages": [pages_of(j or "", t or "", page) for j, t in zip(rows["json"], rows["text"], strict=True)]})
 
-    return groups.select(F.col("doc_id").cast("long").alias("doc_id"), "json", "text").mapInPandas(run, "doc_id long, pages int")
+    return spread(groups.select(F.col("doc_id").cast("long").alias("doc_id"), "json", "text")).mapInPandas(run, "doc_id long, pages int")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import TOKEN
 from lectern.operators.ordered import prefix_sums
+from lectern.plans.shared import spread
 
 MAX_TOKENS, WINDOW_TOKENS = 1024, 8192
 _token = re.compile(TOKEN)
@@ -107,7 +108,7 @@ def split_documents(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
                     out.append((doc_id, i + 1, len(at) - 1, lo, hi, count_tokens(text[lo:hi]), text[lo:hi]))
             yield pd.DataFrame(out, columns=["doc_id", "local", "n_local", "lo", "hi", "tokens", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, local int, n_local int, lo int, hi int, tokens int, body string")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, local int, n_local int, lo int, hi int, tokens int, body string")
 
 
 def numbered_chunks(chunks: DataFrame, source: str = "source") -> DataFrame:

@@ -9,6 +9,7 @@ from lectern.operators import layout, splitter
 from lectern.operators.ordered import prefix_sums
 from lectern.operators.windows import number_rows
 from lectern.plans.catalog import TOKENS, query, table
+from lectern.plans.shared import spread
 from lectern.sources import files
 
 
@@ -96,7 +97,7 @@ spans AS (SELECT kept.* FROM kept JOIN lines USING (doc_id) WHERE (kind = 'l') =
 
 
 def _span_frame(docs, run, schema):
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, count(*) AS n_spans, sum(s)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM spans GROUP BY doc_id")

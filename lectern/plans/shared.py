@@ -39,3 +39,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is, unless it is read by fewer tasks than there are cores: then its rows are dealt over all of them.
+
+    For steps that cost far more per row than a shuffle. A large input is split finely by the scan already and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
