@@ -33,13 +33,13 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 RECALL = 0.999999
 COORDINATES = 64
-SMALL, DEPTH, BRANCHES = 256, 4, 2
+SMALL, DEPTH, BRANCHES = 128, 4, 2
 #: Likenesses of signatures: from which two sets are candidates, and from which a pivot settles a set.
 CANDIDATE, SETTLED = 0.5, 0.85
 #: Ways in which the members of a large bucket are dealt when they meet its pivot.
 SALTS = 32
 #: Most sets and shingles of a block; a tile compares two blocks.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 NO_ID = -(2**63)
 
 _random = np.random.Generator(np.random.PCG64(5))
