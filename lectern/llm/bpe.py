@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.shared import spread
+
 #: Distinct pieces in one generation of a worker's memory, which holds two; bounds memory, not results.
 MAX_PIECES = 400_000
 
@@ -169,7 +171,7 @@ def _encoded(path: str, digest: bool):
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.words import Words, mix
 from lectern.operators.components import components
-from lectern.plans.shared import materialize, shuffle_partitions
+from lectern.plans.shared import materialize, shuffle_partitions, spread
 
 SHINGLE = 5
 #: Similarity as a fraction, so that pairs on the threshold are decided exactly.
@@ -293,7 +293,7 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    sketches = materialize(rows.mapInArrow(_sketch, "doc_id long, s0 long, s1 long, n long, sig binary, paths array<long>"), "sketches")
+    sketches = materialize(spread(rows).mapInArrow(_sketch, "doc_id long, s0 long, s1 long, n long, sig binary, paths array<long>"), "sketches")
     some = sketches.filter("n > 0")
     sets = some.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     sets = materialize(sets, "sets")

@@ -123,3 +123,26 @@ def taken_words(laid: DataFrame, mixed: DataFrame) -> DataFrame:
     got = mixed.groupBy(F.col("source").alias("_s"), F.col("_key").alias("_k")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("size") > 0)
     return laid.join(got, on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_sql(weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> str:
+    """The words taken, in DuckDB's SQL: the same schedule, and each document's overlap with its source's blocks in closed form."""
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM docs),
+per AS (
+  SELECT source, source_size, {list(weights)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1)::INT] AS weight, {max_repeats} * source_size AS cap
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source)),
+filled AS (
+  SELECT *, sum(cap) OVER w AS c, sum(weight) OVER w AS v, sum(source_size) OVER () AS total, sum(weight) OVER () AS whole
+  FROM per WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+capped AS (SELECT coalesce(max(v), 0) AS v, coalesce(max(c), 0) AS c FROM filled WHERE v < whole AND c + cap / weight * (whole - v) <= total),
+targets AS (SELECT source, source_size, total::BIGINT AS total, least(cap::DOUBLE, (total - capped.c)::DOUBLE / (whole - capped.v)::DOUBLE * weight) AS target FROM filled, capped),
+edges AS (SELECT *, floor(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / greatest(total, 1) * {POINTS})::BIGINT AS upto FROM targets),
+shares AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY source NULLS LAST), 0) AS since FROM edges),
+points AS (SELECT ((i % {POINTS}) * {STEP}) % {POINTS} AS u FROM range((SELECT (max(total) + {block_words - 1}) // {block_words} FROM targets)) t(i)),
+slots AS (SELECT source, count(*) AS n FROM points JOIN shares ON since <= u AND u < upto GROUP BY source),
+ends AS (SELECT t.*, least(coalesce(n, 0) * {block_words}, {max_repeats} * source_size) AS last FROM targets t LEFT JOIN slots s ON t.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, list_sum([greatest(0, least(a + k * source_size + size, last) - (a + k * source_size)) FOR k IN range({max_repeats})])::BIGINT AS taken
+FROM laid l JOIN ends e ON l.source IS NOT DISTINCT FROM e.source"""

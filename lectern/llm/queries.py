@@ -52,7 +52,7 @@ def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(*mixing.mix(_docs(spark, sf_dir)))
+    return mixing.taken_words(*mixing.mix(_docs(spark, sf_dir))).drop("source")
 
 
 _OPERATORS = (
@@ -68,4 +68,4 @@ _OPERATORS = (
     op10_source_schedule,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op4_rare_token_licenses": licenses.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_rare_token_licenses": licenses.scan_sql(), "op6_stratified_shards": sharding.shard_sql(), "op10_source_schedule": mixing.mix_sql()}

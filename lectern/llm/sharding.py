@@ -12,7 +12,7 @@ empty. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.ordered import HASH_DIGITS, prefix_sums
@@ -44,3 +44,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     return placed.withColumn("shard", which.cast("int")).select(
         "doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def shard_sql(shards: int = SHARDS, seed: int = SEED) -> str:
+    """The same result in DuckDB's SQL. The CRC-32 is worked out byte by byte, from its table of 256 entries."""
+    return rf"""
+WITH steps AS (SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) FOR i IN range(256)] AS t),
+bytes AS (
+  SELECT doc_id, source, text, [('0x' || x)::BIGINT FOR x IN string_split(rtrim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1 ', 'g')), ' ') IF x <> ''] AS b FROM documents),
+rows AS (
+  SELECT doc_id, source, len(b) + 8 AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
+    md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM bytes, steps),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS place_in_source, count(*) OVER () AS total FROM rows),
+placed AS (SELECT *, row_number() OVER (ORDER BY place_in_source, source NULLS FIRST, h, doc_id, text_crc32, size) - 1 AS place FROM ranked),
+dealt AS (SELECT *, place * {shards} // total AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (place - (shard * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INT AS grown_shard FROM dealt"""

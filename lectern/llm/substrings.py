@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.words import Words, mix, sliding_min
-from lectern.plans.shared import materialize
+from lectern.plans.shared import materialize, spread
 
 WINDOW, GRAM = 35, 8
 
@@ -89,7 +89,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """key, ranges (array of first word and end) of the documents that have repeated windows."""
     rows = _rows(docs)
-    seeds = rows.select("key", "text").mapInArrow(_seeds(window, gram), "key long, anchor long, content long, first int, windows int, again boolean")
+    seeds = spread(rows.select("key", "text")).mapInArrow(_seeds(window, gram), "key long, anchor long, content long, first int, windows int, again boolean")
     anchors = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("_lo"), F.max("content").alias("_hi"), F.max("again").alias("_again"))
     # Written, so that the join shuffles both sides and frequent anchors can be split between tasks.
     anchors = materialize(anchors.filter("n > 1 or _again").select("anchor", F.expr("_lo = _hi and not _again").alias("alike")), "repeated-anchors")

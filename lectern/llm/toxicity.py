@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.jaccard import shingles
+from lectern.plans.shared import materialize, spread
 
 #: Most toxic and most other labelled rows that the lexicon is fitted on, taken in the order of a hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
@@ -176,8 +177,6 @@ def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int)
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learn from labelled rows of ``docs`` whose crc32(doc_id as text) mod 5 is not 0; at most the two bounds are used."""
-    from lectern.plans.shared import materialize
-
     sample = materialize(_sample(docs, labels, max_toxic, max_clean), "toxic-sample")
     sizes = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -277,7 +276,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
         .mapInArrow(_scores(model), "doc_id long, score double")
         .select("doc_id", F.coalesce(rest, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     )
@@ -296,4 +295,4 @@ def _clean(model: Model, text_at: int):
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
+    return spread(docs).mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
