@@ -5,7 +5,7 @@ built: neighbours are taken nearest first, one that is nearer to a kept neighbou
 pruned, and some far nodes are kept so that the graph can be crossed. The adjacency lists of a vector are united over its
 shards. Then every vector is a query: a greedy search starts at the medoid of the shard, and from the nodes it and the
 query's own list reach, the range is expanded through all nodes within reach of the threshold. Every pair is verified in
-double precision, and counted in the first shard that holds both of its vectors.
+double precision from the components as given, and counted in the first shard that holds both of its vectors.
 
 Centroids are fitted on a bounded sample (``SAMPLE``); every vector is indexed. Recall is audited on a bounded set of queries
 against a scan of all vectors, and the overlap is raised until it reaches ``RECALL``. Shards larger than a block are cut into
@@ -37,8 +37,13 @@ OVERLAP, MORE_OVERLAP, RECALL = 4, 3, 0.99
 AUDIT = 200
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _doubles(data: list[bytes], kind: str) -> np.ndarray:
+    """Vectors as they were given, as rows of doubles; ``kind`` is how their components are stored."""
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+
+
+def _unit(data: list[bytes], kind: str) -> np.ndarray:
+    x = _doubles(data, kind)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -54,14 +59,14 @@ def centroids(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     return at
 
 
-def _assign(at: np.ndarray, overlap: int):
+def _assign(at: np.ndarray, overlap: int, kind: str):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sims = _unit(batch.column(2).to_pylist()) @ at.T
+            sims = _unit(batch.column(2).to_pylist(), kind) @ at.T
             k = min(overlap, at.shape[0])
             near = np.sort(np.argpartition(-sims, k - 1, axis=1)[:, :k], axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["rep", "copies", "vec", "shards"])
@@ -103,17 +108,21 @@ def prune(sims: np.ndarray, seed: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.full((n, 1), -1)
 
 
-def _build(batches):
+def _build(kind: str):
     """Adjacency lists of each tile; rows: tile, rep, vec."""
-    import pyarrow as pa
 
-    for tile, rows in _grouped(batches):
-        reps = np.array([r[0] for r in rows], np.int64)
-        x = _unit([r[1] for r in rows])
-        lists = prune(x @ x.T, tile & 0xFFFFFFFF)
-        neighbours = [reps[r[r >= 0]] for r in lists]
-        for at in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(reps[at : at + 1000]), pa.array(neighbours[at : at + 1000], pa.list_(pa.int64()))], names=["rep", "neighbours"])
+    def run(batches):
+        import pyarrow as pa
+
+        for tile, rows in _grouped(batches):
+            reps = np.array([r[0] for r in rows], np.int64)
+            x = _unit([r[1] for r in rows], kind)
+            lists = prune(x @ x.T, tile & 0xFFFFFFFF)
+            neighbours = [reps[r[r >= 0]] for r in lists]
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[at : at + 1000]), pa.array(neighbours[at : at + 1000], pa.list_(pa.int64()))], names=["rep", "neighbours"])
+
+    return run
 
 
 def range_search(x: np.ndarray, adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +170,7 @@ def range_search(x: np.ndarray, adjacency: np.ndarray) -> tuple[np.ndarray, np.n
     return q[q != v], v[q != v]
 
 
-def _search(threshold: float):
+def _search(threshold: float, kind: str):
     """Links of each vector of a tile; rows: tile, rep, copies, vec, shards, shard, block, other, neighbours."""
 
     def run(batches):
@@ -171,7 +180,7 @@ def _search(threshold: float):
         for _, rows in _grouped(batches):
             reps = np.array([r[0] for r in rows], np.int64)
             copies = np.array([r[1] for r in rows], np.int64)
-            raw = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1)
+            raw = _doubles([r[2] for r in rows], kind)
             shards = np.array([r[3] for r in rows])
             block = np.array([r[5] for r in rows])
             one = rows[0][5] == rows[0][6]
@@ -218,17 +227,17 @@ def _search(threshold: float):
     return run
 
 
-def _links(vectors: DataFrame, count: int, overlap: int, threshold: float) -> DataFrame:
+def _links(vectors: DataFrame, count: int, overlap: int, threshold: float, kind: str) -> DataFrame:
     """rep, links, root: one row per tile that links a vector."""
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()  # bounded: SAMPLE rows
-    at = centroids(_unit([r["vec"] for r in sample]), min(MAX_CENTROIDS, max(1, math.ceil(count * overlap / SHARD))))
-    dealt = vectors.mapInArrow(_assign(at, overlap), "rep long, copies long, vec binary, shards array<int>")
+    at = centroids(_unit([r["vec"] for r in sample], kind), min(MAX_CENTROIDS, max(1, math.ceil(count * overlap / SHARD))))
+    dealt = vectors.mapInArrow(_assign(at, overlap, kind), "rep long, copies long, vec binary, shards array<int>")
     dealt = materialize(dealt.withColumn("shard", F.explode("shards")), "vector-shards")
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     n = shuffle_partitions(spark)
     tiles = (
-        dealt.join(sizes, "shard")
+        dealt.join(F.broadcast(sizes), "shard")  # at most MAX_CENTROIDS rows
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("_lo", F.least("block", "other"))
@@ -237,35 +246,35 @@ def _links(vectors: DataFrame, count: int, overlap: int, threshold: float) -> Da
         # Shards, and the tiles of a large shard, are dealt in turn.
         .withColumn("_to", F.pmod(F.col("shard") + F.col("_lo").cast("long") * F.col("blocks") - F.expr("_lo * (_lo - 1) div 2") + F.col("_hi") - F.col("_lo"), F.lit(n)).cast("int"))
     )
-    lists = tiles.repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "rep").select("tile", "rep", "vec").mapInArrow(_build, "rep long, neighbours array<long>")
+    lists = tiles.repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "rep").select("tile", "rep", "vec").mapInArrow(_build(kind), "rep long, neighbours array<long>")
     united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")), "adjacency")
     search = tiles.join(united, "rep").repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "rep")
     search = search.select("tile", "rep", "copies", "vec", "shards", "shard", "block", "other", "neighbours")
-    return materialize(search.mapInArrow(_search(threshold), "rep long, links long, root long"), "vector-links")
+    return materialize(search.mapInArrow(_search(threshold, kind), "rep long, links long, root long"), "vector-links")
 
 
-def _scan(queries: np.ndarray, ids: list[int], threshold: float):
+def _scan(queries: np.ndarray, ids: list[int], threshold: float, kind: str):
     def run(batches):
         import pyarrow as pa
 
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             if batch.num_rows:
-                near = _unit(batch.column(2).to_pylist()) @ queries.T >= threshold
+                near = _unit(batch.column(2).to_pylist(), kind) @ queries.T >= threshold
                 total += (near * np.array(batch.column(1).to_pylist())[:, None]).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["rep", "n"])
 
     return run
 
 
-def recall_of(vectors: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT) -> float:
+def recall_of(vectors: DataFrame, counts: DataFrame, threshold: float, kind: str, queries: int = AUDIT) -> float:
     """Share of the links of some vectors, half of them with links found, that a scan of all vectors finds and ``counts`` has."""
     order = [F.xxhash64("rep"), F.col("rep")]
     some = vectors.join(counts, "rep", "left_semi").orderBy(*order).limit(queries // 2).unionAll(vectors.orderBy(*order).limit(queries // 2)).dropDuplicates(["rep"])
     asked = some.join(counts, "rep", "left").select("rep", "copies", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()  # bounded: AUDIT rows
     if not asked:
         return 1.0
-    scan = _scan(_unit([r["vec"] for r in asked]), [r["rep"] for r in asked], threshold)
+    scan = _scan(_unit([r["vec"] for r in asked], kind), [r["rep"] for r in asked], threshold, kind)
     true = {r["rep"]: r["n"] for r in vectors.mapInArrow(scan, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()}
     want = sum(true[r["rep"]] - r["copies"] for r in asked)
     return sum(min(r["links"], true[r["rep"]] - r["copies"]) for r in asked) / want if want else 1.0
@@ -273,18 +282,19 @@ def recall_of(vectors: DataFrame, counts: DataFrame, threshold: float, queries:
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall of every row of ``embeddings`` (vec_id, embedding)."""
+    kind = "<f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "<f8"
     rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("_e"))
     whole = F.col("_e").isNotNull() & F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_e", lambda x: x != 0)
     rows = rows.withColumn("_e", F.when(whole, F.transform("_e", lambda x: x + F.lit(0.0))))
-    rows = materialize(rows.mapInArrow(_bytes, "vec_id long, size int, vec binary"), "vectors")
+    rows = materialize(rows.mapInArrow(_bytes(kind), "vec_id long, size int, vec binary"), "vectors")
     common = rows.filter("size > 0").groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     usable = rows.filter(F.col("size") == (common["size"] if common else 0))
     vectors = materialize(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vec"), "distinct-vectors")
     count = vectors.count()
     for more in range(3):
-        links = _links(vectors, count, overlap + MORE_OVERLAP * more, threshold) if count else vectors.select("rep", F.col("copies").alias("links"), F.col("rep").alias("root"))
+        links = _links(vectors, count, overlap + MORE_OVERLAP * more, threshold, kind) if count else vectors.select("rep", F.col("copies").alias("links"), F.col("rep").alias("root"))
         counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-        recall = recall_of(vectors, counts.filter("links > 0"), threshold)
+        recall = recall_of(vectors, counts.filter("links > 0"), threshold, kind)
         if recall >= RECALL:
             break
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
@@ -295,10 +305,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, overlap
     return out.select(no_id(F.col("vec_id")).alias("vec_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), no_id(F.col("_c")).alias("component_id"), (F.col("_c") == F.col("vec_id")).alias("kept"), F.lit(recall).alias("audited_recall"))
 
 
-def _bytes(batches):
-    import pyarrow as pa
+def _bytes(kind: str):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            vectors = [None if x is None else np.asarray(x, kind) for x in batch.column(1).to_pylist()]
+            sizes = [0 if x is None else len(x) for x in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array([None if x is None else x.tobytes() for x in vectors], pa.binary())], names=["vec_id", "size", "vec"])
 
-    for batch in batches:
-        vectors = [None if x is None else np.asarray(x, np.float64) for x in batch.column(1).to_pylist()]
-        sizes = [0 if x is None else len(x) for x in vectors]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array([None if x is None else x.tobytes() for x in vectors], pa.binary())], names=["vec_id", "size", "vec"])
+    return run
