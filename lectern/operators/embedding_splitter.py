@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -141,7 +142,7 @@ def hashed_vectors(tokens: list[str], windows: np.ndarray, size: int = 64) -> np
 
 def _scored(text: str | None, s: Settings) -> tuple[int, dict[int, float]]:
     """Tokens of a text, and the strengths of its grid points."""
-    tokens = _token.findall((text or "").lower())
+    tokens = [t.lower() for t in _token.findall(text or "")]
     if not tokens:
         return 0, {}
     return len(tokens), boundary_scores(len(tokens), *[hashed_vectors(tokens, window_starts(len(tokens), *w)) for w in (s.coarse, s.fine)], s)
@@ -164,6 +165,35 @@ def split_by_embedding(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, n_tokens long, cuts array<int>, strengths array<double>")
 
 
+def char_spans(text: str, cuts: list[int], overlap: int = 0) -> list[tuple[int, int]]:
+    """Chunks as characters: each begins with the first token after its cut, ``overlap`` tokens earlier but for the first one.
+
+    What stands between two tokens belongs to the earlier chunk, so chunks without overlap join to the text.
+    """
+    starts = [m.start() for m in _token.finditer(text)]
+    begin = lambda t: 0 if t <= 0 else len(text) if t >= len(starts) else starts[t]
+    return [(begin(a - overlap if i else 0), begin(b)) for i, (a, b) in enumerate(pairwise(cuts))]
+
+
+def chunks_by_embedding(docs: DataFrame, overlap: int = 0, s: Settings = Settings()) -> DataFrame:
+    """doc_id, local, lo, hi, body of every chunk of ``docs`` (doc_id, text)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            out = []
+            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+                text = text or ""
+                n, strength = _scored(text, s)
+                at = nudged(choose_cuts(n, strength, s), n, strength, s) if n else [0, 0]
+                spans = char_spans(text, at, overlap) if n else [(0, len(text))]
+                out += [(doc_id, i, lo, hi, text[lo:hi]) for i, (lo, hi) in enumerate(spans, 1)]
+            yield pd.DataFrame(out, columns=["doc_id", "local", "lo", "hi", "body"])
+
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, local int, lo int, hi int, body string")
+
+
 def grid_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, t, strength at every grid point."""
 

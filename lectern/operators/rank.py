@@ -88,6 +88,19 @@ def bradley_terry(games: list[tuple[int, int]], n: int, alpha: float = ALPHA) ->
     return theta
 
 
+def remembered(judge: PairJudge, journal: DataFrame) -> PairJudge:
+    """A judge that asks only for pairs the journal lacks; journal: left, right, winner, ordinal, on either side, the last one wins."""
+    flipped = journal.select(F.col("right").alias("left"), F.col("left").alias("right"), F.when(F.col("winner") == "left", "right").otherwise("left").alias("winner"), "ordinal")
+    known = journal.select("left", "right", "winner", "ordinal").unionByName(flipped).groupBy("left", "right").agg(F.max_by("winner", "ordinal").alias("winner"))
+
+    def play(games: DataFrame) -> DataFrame:
+        old = games.join(known, ["left", "right"])
+        new = judge(games.join(known, ["left", "right"], "left_anti"))
+        return new.unionByName(old.select(*new.columns))
+
+    return play
+
+
 def bracket(items: DataFrame, anchors: DataFrame, judge: PairJudge, confirm_mode: str = "reference") -> DataFrame:
     """item, tier, votes: a binary search of each item among the ranked anchors, all items in one wave per level.
 

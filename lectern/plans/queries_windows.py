@@ -148,6 +148,14 @@ def choose_cuts(spark, sf_dir):
     return es.split_by_embedding(table(spark, sf_dir, "documents"))
 
 
+@query("SELECT doc_id, length(text)::BIGINT AS chars, sha256(text) AS sha FROM documents")
+def embedding_chunks(spark, sf_dir):
+    """The chunks of each document join to its text."""
+    chunks = es.chunks_by_embedding(table(spark, sf_dir, "documents"))
+    parts = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("local", "body"))).alias("p"), F.sum(F.col("hi") - F.col("lo")).alias("chars"))
+    return parts.select("doc_id", "chars", F.sha2(F.array_join(F.transform("p", lambda x: x["body"]), ""), 256).alias("sha"))
+
+
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, b.vec_id, list_dot_product(q.v, b.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(b.v, b.v)) AS c FROM e q, e b WHERE q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id)
 SELECT query_id, vec_id, rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")

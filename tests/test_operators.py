@@ -120,6 +120,19 @@ def test_bradley_terry_order_is_win_order():
                 assert abs(theta[i] - theta[j]) < 1e-6
 
 
+def test_remembered(spark):
+    asked = []
+
+    def judge(games):
+        asked.append(sorted((r.left, r.right) for r in games.collect()))
+        return games.withColumn("winner", F.lit("left"))
+
+    journal_ = spark.createDataFrame([(1, 2, "left", 0), (2, 1, "left", 1), (3, 4, "right", 2)], "left int, right int, winner string, ordinal int")
+    games = spark.createDataFrame([(1, 2), (4, 3), (5, 6)], "left int, right int")
+    found = {(r.left, r.right): r.winner for r in rank.remembered(judge, journal_)(games).collect()}
+    assert found == {(1, 2): "right", (4, 3): "left", (5, 6): "left"} and asked[0] == [(5, 6)]
+
+
 def test_bracket_modes(spark):
     items = spark.createDataFrame([(100 + i, i + 0.5) for i in range(0, 30, 3)], "item long, score double")
     anchors = spark.createDataFrame([(i, 30.0 - 2 * i, i + 1) for i in range(15)], "item long, score double, rank int")
@@ -221,6 +234,13 @@ def test_embedding_cuts(length):
     assert length < 320 or all(b - a <= 1024 for a, b in zip(at, at[1:]))
 
 
+def test_char_spans():
+    t = "  one two, three\n\nfour five "
+    assert es.char_spans(t, [0, 2, 5, 6]) == [(0, 9), (9, 23), (23, len(t))]
+    assert "".join(t[a:b] for a, b in es.char_spans(t, [0, 2, 5, 6])) == t
+    assert es.char_spans(t, [0, 2, 6], overlap=1) == [(0, 9), (6, len(t))]
+
+
 @pytest.mark.parametrize("length, nearest", [(700, False), (2500, True), (4000, False)])
 def test_boundary_scores(length, nearest):
     """Against averages over all pairs, one boundary at a time."""
