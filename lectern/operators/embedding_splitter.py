@@ -20,7 +20,7 @@ from lectern.plans.shared import spread
 
 @dataclass(frozen=True)
 class Settings:
-    """Window lengths and strides in tokens, neighbours on each side, and the chooser's limits."""
+    """Window lengths and strides in tokens, neighbours on each side, and the chooser's limits."""
 
     coarse: tuple[int, int] = (384, 128)
     fine: tuple[int, int] = (176, 64)

@@ -16,7 +16,7 @@ Width = Callable[[str], float]
 
 @dataclass(frozen=True)
 class Page:
-    """Points: an A4 page with its margins and fonts."""
+    """Fixed values, in points: an A4 page with its margins and fonts."""
 
     height: float = 841.89
     width: float = 595.28

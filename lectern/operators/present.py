@@ -9,7 +9,7 @@ from lectern.functions.text import body, unique_join
 from lectern.operators.ordered import prefix_sums
 from lectern.operators.windows import RANGE, islands
 
-#: Most chunks of a group that are cleaned in one call, and most content pages of a cover.
+#: Most chunks of a group that are cleaned in one call, and most content pages of a cover.
 PART, COVER_PAGES = 5, 20
 
 

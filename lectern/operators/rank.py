@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern.operators.ordered import prefix_sums
 from lectern.plans.shared import materialize
 
+#: Anchors of a skeleton, items of a top block, comparisons with each neighbour; limits of the fit.
 SKELETON, TOP, CONFIRMATIONS = 120, 60, 2
 ALPHA, TOLERANCE, MAX_ITERATIONS = 1e-7, 1e-10, 1000
 

@@ -19,6 +19,7 @@ from lectern.functions.text import TOKEN
 from lectern.operators.ordered import prefix_sums
 from lectern.plans.shared import spread
 
+#: Tokens of a chunk and of what a model is shown of a longer segment.
 MAX_TOKENS, WINDOW_TOKENS = 1024, 8192
 _token = re.compile(TOKEN)
 
