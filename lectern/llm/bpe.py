@@ -21,10 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.words import slices
 from lectern.plans.shared import spread
 
 #: Distinct pieces in one generation of a worker's memory, which holds two; bounds memory, not results.
-MAX_PIECES = 400_000
+MAX_PIECES = 250_000
 
 #: Letters, digits and spaces of Latin-1 after lower-casing; in this range normalization changes nothing but case and spaces.
 _L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -151,7 +152,7 @@ def _encoded(path: str, digest: bool):
         import pyarrow as pa
 
         encode = forced_boundary_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_out, text_out = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encode(text)

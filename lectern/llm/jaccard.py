@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.words import Words, mix
+from lectern.llm.words import Words, mix, slices
 from lectern.operators.components import components
 from lectern.plans.shared import materialize, shuffle_partitions, spread
 
@@ -84,7 +84,7 @@ def _sketch(batches):
     import pyarrow as pa
 
     run = np.arange(RUNS)
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingles(x) for x in batch.column(1).to_pylist()]
         signatures = [signature(x) for x in found]
         ids = np.array([_identity(x) for x in found]).reshape(-1, 2)
@@ -206,7 +206,7 @@ def _sets(batches):
     """The whole sets of candidate rows; a row whose set is not the one that was joined (an id used twice) is left out."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         keep, found = [], []
         for i, (text, s0, s1) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "s0", "s1")), strict=True)):
             one = shingles(text)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.words import Words, mix, sliding_min
+from lectern.llm.words import Words, mix, slices, sliding_min
 from lectern.plans.shared import materialize, spread
 
 WINDOW, GRAM = 35, 8
@@ -45,7 +45,7 @@ def _seeds(window: int, gram: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             found = [_stretches(Words(x), window, gram) for x in batch.column(1).to_pylist()]
             sizes = [0 if x is None else len(x[0]) for x in found]
             found = [x for x in found if x is not None] or [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool))]
@@ -64,7 +64,7 @@ def _windows(window: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             contents, hashes, sizes = [], [], []
             for text, stretches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = Words(text).grams(window)
@@ -128,7 +128,7 @@ def _kept(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
 def _cut(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         found = [_kept(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         total, removed, kept = zip(*found, strict=True) if found else ((), (), ())
         digests = [hashlib.sha256(x).hexdigest() for x in kept]
@@ -140,7 +140,7 @@ def _cut_text(columns: list[str]):
         import pyarrow as pa
 
         at = columns.index("text")
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, ranges in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 texts.append(_kept(text.encode(), ranges)[2].decode() if ranges else text)

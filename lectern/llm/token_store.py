@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import default_tokenizer, piece_encoder
+from lectern.llm.words import slices
 from lectern.operators.ordered import range_bounds, range_bucket
 from lectern.plans.shared import shuffle_partitions
 
@@ -34,7 +35,7 @@ def _encode(path: str, end_id: int):
         import pyarrow as pa
 
         encode, at = piece_encoder(path), {}
-        for batch in batches:
+        for batch in slices(batches):
             parts = batch.column(1).to_pylist()
             ids = [encode(x) + end for x in batch.column(2).to_pylist()]
             sizes = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)

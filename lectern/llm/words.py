@@ -62,6 +62,13 @@ class Words:
         return mix((self._sums[b] - self._sums[a]) * self._inverse[a])
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut finer, so that what a worker holds besides the batch is bounded by fewer texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` neighbours, by doubling."""
     out, have = x, 1
