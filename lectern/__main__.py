@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--query", required=True)
     p.add_argument("--dir", default="split/chunks")
     p.add_argument("--runs", default="search_runs")
-    p.add_argument("--output", default="rerank/order.csv")
+    p.add_argument("--output", default="rank/order.csv")
     p = commands.add_parser("manifest", help="list the PDF files of a folder")
     p.add_argument("base")
     return top
