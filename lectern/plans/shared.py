@@ -49,5 +49,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     For steps that cost far more per row than a shuffle. A large input is split finely by the scan already and is left alone.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
