@@ -11,8 +11,9 @@ then compared exactly, on whole sets of shingles, in tiles of bounded size; a bu
 is. So a pair is lost only if no chain of buckets connects it, and none is found that is below the threshold.
 
 Sets are compared, not texts: rows with equal sets are copies of each other, are joined once and counted as often as they
-occur. Texts of one to four words are one shingle; null texts and texts without words link with nothing. Rows without a
-doc_id count under the smallest long. Repeated rows are copies. Extra columns are ignored; an empty table gives none.
+occur. A set goes by the number of one of its rows, never by a doc_id, so ids may be null or used again. Texts of one to four
+words are one shingle; null texts and texts without words link with nothing. Rows without a doc_id count under the smallest
+long. Repeated rows are copies. Extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.llm.words import Words, mix, slices
 from lectern.operators.components import components
@@ -81,24 +83,25 @@ def _identity(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
+    """Rows with s0, s1, n, sig and paths of their texts behind their own columns."""
     import pyarrow as pa
 
     run = np.arange(RUNS)
     for batch in slices(batches):
-        found = [shingles(x) for x in batch.column(1).to_pylist()]
+        found = [shingles(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
         signatures = [signature(x) for x in found]
         ids = np.array([_identity(x) for x in found]).reshape(-1, 2)
         paths = [_paths(run.astype(np.uint64), run, s[:RUNS]) for s in signatures]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *batch.columns,
                 pa.array(ids[:, 0]),
                 pa.array(ids[:, 1]),
                 pa.array([len(x) for x in found], pa.int64()),
                 pa.array([x.tobytes() for x in signatures], pa.binary()),
                 pa.array(paths, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "s0", "s1", "n", "sig", "paths"],
+            names=[*batch.schema.names, "s0", "s1", "n", "sig", "paths"],
         )
 
 
@@ -203,21 +206,13 @@ def _candidates(sets: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    """The whole sets of candidate rows; a row whose set is not the one that was joined (an id used twice) is left out."""
+    """The whole sets of candidates."""
     import pyarrow as pa
 
-    for batch in slices(batches):
-        keep, found = [], []
-        for i, (text, s0, s1) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "s0", "s1")), strict=True)):
-            one = shingles(text)
-            if tuple(_identity(one).tolist()) == (s0, s1):
-                keep.append(i)
-                found.append(one.view(np.int64))
-        index = pa.array(keep, pa.int64())
-        for at in range(0, len(keep), 500):
-            part = index[at : at + 500]
-            kept = [batch.column(c).take(part) for c in ("rep", "class", "copies", "blocks")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found[at : at + 500], pa.list_(pa.int64()))], names=["rep", "class", "copies", "blocks", "shingles"])
+    for batch in slices(batches, 500):
+        found = [shingles(x or b"").view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        kept = [batch.column(c) for c in ("rep", "class", "copies", "blocks")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=["rep", "class", "copies", "blocks", "shingles"])
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -285,28 +280,31 @@ def _tile(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "root"])
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text).
+def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` and the sets of their shingles.
 
-    ``n_links`` counts the other rows at a similarity of four fifths or more; ``class_id`` is the least doc_id that links lead to.
+    Rows: row (a number of its own), doc_id (never null), text, ``columns``, s0, s1 and n. Sets: s0, s1, the root of their
+    component, class_id and n_links; rows without words (n = 0) have none.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    sketches = materialize(spread(rows).mapInArrow(_sketch, "doc_id long, s0 long, s1 long, n long, sig binary, paths array<long>"), "sketches")
+    rows = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+    schema = StructType([*rows.schema, *StructType.fromDDL("s0 long, s1 long, n long, sig binary, paths array<long>")])
+    # Numbered as they are written: the numbers are unique, and stay.
+    sketches = materialize(spread(rows).mapInArrow(_sketch, schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = sketches.filter("n > 0")
-    sets = some.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    sets = some.groupBy("s0", "s1").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
     sets = materialize(sets, "sets")
-    shown = some.select(F.col("doc_id").alias("rep"), "s0", "s1", "sig", "paths").join(sets.select("rep", "s0", "s1"), ["rep", "s0", "s1"]).dropDuplicates(["rep"])
-    shown = materialize(shown.select("rep", "sig", "paths"), "signatures")
+    shown = some.select(F.col("row").alias("rep"), "sig", "paths").join(sets.select("rep"), "rep")
+    shown = materialize(shown, "signatures")
 
     classes = components(_candidates(shown)).select(F.col("id").alias("rep"), F.col("root").alias("class"))
     members = materialize(sets.join(classes, "rep"), "members")
     size = members.groupBy("class").agg(F.count("*").alias("_k"), F.sum("n").alias("_n"))
     size = materialize(size.select("class", F.greatest(F.ceil(F.col("_k") / BLOCK_SETS), F.ceil(F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "class-sizes")
-    wanted = members.join(size, "class").select("rep", "class", "copies", "blocks", "s0", "s1")
+    wanted = members.join(size, "class").select("rep", "class", "copies", "blocks")
     # Never a broadcast: how many candidates there are is not bounded, and the plan is the same at every size.
-    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep")
+    texts = sketches.select(F.col("row").alias("rep"), "text").join(wanted.hint("merge"), "rep")
     whole = texts.mapInArrow(_sets, "rep long, class long, copies long, blocks int, shingles array<long>")
     n = shuffle_partitions(spark)
     tiles = (
@@ -322,8 +320,19 @@ def join(docs: DataFrame) -> DataFrame:
     links = materialize(tiles.select("tile", "rep", "copies", "block", "other", "shingles").mapInArrow(_tile, "rep long, links long, root long"), "links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    found = sets.join(counts, "rep", "left").join(roots, "rep", "left")
-    found = found.select("s0", "s1", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketches.select("doc_id", "s0", "s1", "n").join(found, ["s0", "s1"], "left")
+    # Written before they are joined, since a component may be large.
+    roots = materialize(roots.join(sets.select("rep", "id"), "rep"), "roots")
+    least = materialize(roots.groupBy("root").agg(F.min("id").alias("class_id")), "least-ids")
+    found = sets.join(counts, "rep", "left").join(roots.join(least, "root").select("rep", "root", "class_id"), "rep", "left")
+    return sketches, found.select("s0", "s1", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text).
+
+    ``n_links`` counts the other rows at a similarity of four fifths or more; ``class_id`` is the least doc_id that links lead to.
+    """
+    rows, sets = linked(docs)
+    out = rows.select("doc_id", "s0", "s1", "n").join(sets, ["s0", "s1"], "left")
     no_id = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(no_id(F.col("doc_id")).alias("doc_id"), no_id(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
