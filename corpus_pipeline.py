@@ -5,7 +5,8 @@ All but the last return the columns of ``documents``:
 
 1. toxicity: documents predicted toxic go; the classifier learns from ``labels`` and the stage's own documents.
 2. near_duplicates: of every group that links of Jaccard similarity 4/5 on five-word shingles connect, the row with the least
-   doc_id stays; of rows that share a doc_id and their group, one.
+   doc_id stays (null is the least); of rows that share a doc_id and their group, one. Rows without words are in no group and
+   stay, as do rows of different groups that share a doc_id or have none.
 3. repeats: words in windows of 35 that occur more than once leave the texts; ``n_chars`` is that of what is left. Texts that
    lose every word stay as empty documents.
 4. mix: documents stay as often as the mix to target weights takes them whole, rounded up to whole documents, once at least if
@@ -15,7 +16,7 @@ All but the last return the columns of ``documents``:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, jaccard, mixing, substrings, toxicity
@@ -39,10 +40,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(_id()).distinct()
-    rows = _columns(docs).withColumn("_id", _id()).join(kept.hint("merge"), "_id")
-    one = Window.partitionBy("_id").orderBy(F.col("text").asc_nulls_last(), "lang", "source", "n_chars")
-    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*COLUMNS)
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    given = docs.withColumn("_given", F.col("doc_id")).withColumn("_like", F.xxhash64("text", *rest))
+    rows, sets = jaccard.linked(given, "_given", "_like", *rest)
+    # Groups go by the number of a row of theirs. Rows that tie go by a hash of their columns, so that no text is moved to choose.
+    grouped = rows.select("row", "doc_id", "_like", "s0", "s1").join(sets.select("s0", "s1", "root"), ["s0", "s1"], "left")
+    first = F.min(F.struct("doc_id", "_like", "row"))["row"]
+    kept = grouped.groupBy(F.coalesce("root", "row").alias("_group")).agg(first.alias("row")).select("row")
+    return rows.drop("doc_id").withColumnRenamed("_given", "doc_id").join(kept.hint("merge"), "row").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 from lectern.llm import jaccard
+from test_text_operators import none, odd  # noqa: F401  fixtures
 
 
 def words_of(rng, n):
@@ -30,3 +32,17 @@ def test_jaccard_of_null_and_reused_ids(spark):
     want = Counter((i, None if g < 5 else 7 if g < 9 else 50 + g, size[g] - 1) for i, _, g in rows)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     assert Counter(map(tuple, jaccard.join(docs).collect())) == want
+
+
+def test_near_duplicates_keeps_a_row_of_every_group(spark, odd):  # noqa: F811
+    """Unrelated rows stay though they share an id or have none; of rows that share id and group, one does."""
+    rows = reused(random.Random(22))
+    rows += [(None, rows[0][1], 0), (None, near(rows[2][1].split()), 1), (7, rows[10][1], 5), (None, None, -1), (None, "", -1), (7, " ", -1)]
+    docs = spark.createDataFrame([(*r[:2], "en", "s1", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    groups = {t: g for _, t, g in rows}
+    assert Counter((r.doc_id, groups[r.text]) for r in got if (r.text or "").strip()) == Counter({(None if g < 5 else 7 if g < 9 else 50 + g, g) for g in range(12)})
+    assert Counter((r.doc_id, r.text) for r in got if not (r.text or "").strip()) == Counter([(None, None), (None, ""), (7, " ")])
+    stays = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect())
+    want = Counter({tuple(r)[:5] for r in odd.collect()})
+    assert stays == want
