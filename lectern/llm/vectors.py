@@ -8,7 +8,8 @@ query's own list reach, the range is expanded through all nodes within reach of
 double precision from the components as given, and counted in the first shard that holds both of its vectors.
 
 Centroids are fitted on a bounded sample (``SAMPLE``); every vector is indexed. Recall is audited on a bounded set of queries
-against a scan of all vectors, and the overlap is raised until it reaches ``RECALL``. Shards larger than a block are cut into
+drawn from all vectors against a scan of all. The overlap is raised up to twice while recall is below ``RECALL``; if it still
+is, all pairs are compared, block by block, which is exact and quadratic. Shards larger than a block are cut into
 blocks and worked on in pairs of blocks, so that memory is bounded and no pair is lost to the cut.
 
 Equal vectors are joined once and counted as often as they occur. Vectors that are null, empty, zero or hold null or
@@ -34,7 +35,7 @@ REACH = 0.8
 SAMPLE, SHARD, BLOCK, MAX_CENTROIDS = 20_000, 1_200, 2_000, 4_096
 NEAR, FAR, POOL, ALPHA = 24, 8, 64, 1.2
 OVERLAP, MORE_OVERLAP, RECALL = 4, 3, 0.99
-AUDIT = 200
+AUDIT = 1_000
 
 
 def _doubles(data: list[bytes], kind: str) -> np.ndarray:
@@ -170,7 +171,14 @@ def range_search(x: np.ndarray, adjacency: np.ndarray) -> tuple[np.ndarray, np.n
     return q[q != v], v[q != v]
 
 
-def _search(threshold: float, kind: str):
+def _all_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be within the threshold, by comparing all."""
+    found = [np.nonzero(x[i : i + 500] @ x.T >= threshold - 1e-9) for i in range(0, len(x), 500)]
+    q, v = np.concatenate([f[0] + 500 * i for i, f in enumerate(found)]), np.concatenate([f[1] for f in found])
+    return q[q != v], v[q != v]
+
+
+def _search(threshold: float, kind: str, exact: bool):
     """Links of each vector of a tile; rows: tile, rep, copies, vec, shards, shard, block, other, neighbours."""
 
     def run(batches):
@@ -199,7 +207,8 @@ def _search(threshold: float, kind: str):
             place = np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)
             fits = place < adjacency.shape[1]
             adjacency[owner[fits], place[fits]] = to[fits]
-            q, v = range_search(raw / np.sqrt((raw * raw).sum(axis=1))[:, None], adjacency)
+            unit = raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
+            q, v = _all_pairs(unit, threshold) if exact else range_search(unit, adjacency)
             pair = np.unique(np.minimum(q, v) * len(rows) + np.maximum(q, v))
             q, v = pair // len(rows), pair % len(rows)
             norms = np.sqrt((raw * raw).sum(axis=1))
@@ -227,11 +236,11 @@ def _search(threshold: float, kind: str):
     return run
 
 
-def _links(vectors: DataFrame, count: int, overlap: int, threshold: float, kind: str) -> DataFrame:
-    """rep, links, root: one row per tile that links a vector."""
+def _links(vectors: DataFrame, count: int, overlap: int, threshold: float, kind: str, exact: bool = False) -> DataFrame:
+    """rep, links, root: one row per tile that links a vector; ``exact``: of one shard, all of whose pairs are compared."""
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()  # bounded: SAMPLE rows
-    at = centroids(_unit([r["vec"] for r in sample], kind), min(MAX_CENTROIDS, max(1, math.ceil(count * overlap / SHARD))))
+    at = centroids(_unit([r["vec"] for r in sample], kind), 1 if exact else min(MAX_CENTROIDS, max(1, math.ceil(count * overlap / SHARD))))
     dealt = vectors.mapInArrow(_assign(at, overlap, kind), "rep long, copies long, vec binary, shards array<int>")
     dealt = materialize(dealt.withColumn("shard", F.explode("shards")), "vector-shards")
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -246,11 +255,15 @@ def _links(vectors: DataFrame, count: int, overlap: int, threshold: float, kind:
         # Shards, and the tiles of a large shard, are dealt in turn.
         .withColumn("_to", F.pmod(F.col("shard") + F.col("_lo").cast("long") * F.col("blocks") - F.expr("_lo * (_lo - 1) div 2") + F.col("_hi") - F.col("_lo"), F.lit(n)).cast("int"))
     )
+    if exact:
+        search = tiles.withColumn("neighbours", F.lit(None).cast("array<long>")).repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "rep")
+        search = search.select("tile", "rep", "copies", "vec", "shards", "shard", "block", "other", "neighbours")
+        return materialize(search.mapInArrow(_search(threshold, kind, True), "rep long, links long, root long"), "vector-links")
     lists = tiles.repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "rep").select("tile", "rep", "vec").mapInArrow(_build(kind), "rep long, neighbours array<long>")
     united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")), "adjacency")
     search = tiles.join(united, "rep").repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "rep")
     search = search.select("tile", "rep", "copies", "vec", "shards", "shard", "block", "other", "neighbours")
-    return materialize(search.mapInArrow(_search(threshold, kind), "rep long, links long, root long"), "vector-links")
+    return materialize(search.mapInArrow(_search(threshold, kind, False), "rep long, links long, root long"), "vector-links")
 
 
 def _scan(queries: np.ndarray, ids: list[int], threshold: float, kind: str):
@@ -259,18 +272,18 @@ def _scan(queries: np.ndarray, ids: list[int], threshold: float, kind: str):
 
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                near = _unit(batch.column(2).to_pylist(), kind) @ queries.T >= threshold
-                total += (near * np.array(batch.column(1).to_pylist())[:, None]).sum(axis=0)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                near = _unit(part.column(2).to_pylist(), kind) @ queries.T >= threshold
+                total += np.array(part.column(1).to_pylist()) @ near
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["rep", "n"])
 
     return run
 
 
 def recall_of(vectors: DataFrame, counts: DataFrame, threshold: float, kind: str, queries: int = AUDIT) -> float:
-    """Share of the links of some vectors, half of them with links found, that a scan of all vectors finds and ``counts`` has."""
-    order = [F.xxhash64("rep"), F.col("rep")]
-    some = vectors.join(counts, "rep", "left_semi").orderBy(*order).limit(queries // 2).unionAll(vectors.orderBy(*order).limit(queries // 2)).dropDuplicates(["rep"])
+    """Share of the links of some vectors, drawn whether links were found or not, that a scan of all vectors finds and ``counts`` has."""
+    some = vectors.orderBy(F.xxhash64("rep"), "rep").limit(queries)
     asked = some.join(counts, "rep", "left").select("rep", "copies", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()  # bounded: AUDIT rows
     if not asked:
         return 1.0
@@ -291,8 +304,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, overlap
     usable = rows.filter(F.col("size") == (common["size"] if common else 0))
     vectors = materialize(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vec"), "distinct-vectors")
     count = vectors.count()
-    for more in range(3):
-        links = _links(vectors, count, overlap + MORE_OVERLAP * more, threshold, kind) if count else vectors.select("rep", F.col("copies").alias("links"), F.col("rep").alias("root"))
+    for more in range(4):  # the last try is exact
+        links = _links(vectors, count, overlap + MORE_OVERLAP * more if more < 3 else 1, threshold, kind, more == 3) if count else vectors.select("rep", F.col("copies").alias("links"), F.col("rep").alias("root"))
         counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
         recall = recall_of(vectors, counts.filter("links > 0"), threshold, kind)
         if recall >= RECALL:

@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from lectern.llm import jaccard
+from lectern.llm import jaccard, vectors
 from test_text_operators import none, odd  # noqa: F401  fixtures
 
 
@@ -46,3 +48,30 @@ def test_near_duplicates_keeps_a_row_of_every_group(spark, odd):  # noqa: F811
     stays = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect())
     want = Counter({tuple(r)[:5] for r in odd.collect()})
     assert stays == want
+
+
+def pairs(rng, n, dims, cosine):
+    """n unit vectors and, behind them, one partner of each at the cosine."""
+    x = rng.normal(size=(2, n, dims))
+    x /= np.linalg.norm(x, axis=2)[:, :, None]
+    y = x[1] - (x[0] * x[1]).sum(axis=1)[:, None] * x[0]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return np.vstack([x[0], cosine * x[0] + np.sqrt(1 - cosine**2) * y])
+
+
+def test_audit_sees_links_not_found(spark):
+    x = pairs(np.random.default_rng(4), 400, 64, 0.95)
+    rows = [(i, 1, v.tobytes()) for i, v in enumerate(x)]
+    vecs = spark.createDataFrame([(i, c, bytearray(v)) for i, c, v in rows], "rep long, copies long, vec binary")
+    counts = spark.createDataFrame([(i, 1) for i in range(800) if i % 400 < 200], "rep long, links long")
+    assert 0.4 < vectors.recall_of(vecs, counts, 0.9, "<f8") < 0.6
+
+
+def test_vectors_below_recall_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 150)
+    monkeypatch.setattr(vectors, "MORE_OVERLAP", 0)
+    x = pairs(np.random.default_rng(5), 200, 64, 0.91)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(docs, overlap=1).collect()
+    assert all((r.n_links, r.component_id, r.audited_recall) == (1, r.vec_id % 200, 1.0) for r in got) and len(got) == 400
