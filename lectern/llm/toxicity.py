@@ -195,10 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     stems = sorted(x for x, _ in weights if not x.endswith(" "))
     benign = []
     if stems:
-        within = F.lit(False)
-        for x in stems[:500]:
-            within |= F.col("feature").startswith(x)
-        benign = [r["feature"].rstrip(" ") for r in counts.filter((F.col("weight") < 0) & (F.col("neg") >= MIN_DOCS) & within).orderBy(F.col("neg").desc(), "feature").limit(MAX_CANDIDATES).collect()]
+        # Stems have the lengths of PREFIXES, so those that a feature begins with are found by a join.
+        begins = F.explode(F.array(*[F.left("feature", F.lit(n)) for n in PREFIXES]))
+        common = counts.filter((F.col("weight") < 0) & (F.col("neg") >= MIN_DOCS)).select("feature", "neg", begins.alias("stem"))
+        within = common.join(docs.sparkSession.createDataFrame([(x,) for x in stems], "stem string"), "stem").select("feature", "neg").distinct()
+        benign = [r["feature"].rstrip(" ") for r in within.orderBy(F.col("neg").desc(), "feature").limit(MAX_CANDIDATES).collect()]
     model = Model(weights, tuple(sorted({*map(fold, exceptions), *benign} - {x.rstrip(" ") for x, _ in weights})))
     rows = sample.mapInArrow(_features(model), "toxic int, a double, b double").collect()  # at most the two bounds
     return Model(model.weights, model.exceptions, _logistic(np.array([[1.0, r["a"], r["b"]] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)))

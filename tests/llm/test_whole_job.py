@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from lectern.llm import jaccard, vectors
+from lectern.llm import jaccard, toxicity, vectors
 from test_text_operators import none, odd  # noqa: F401  fixtures
 
 
@@ -75,3 +75,23 @@ def test_vectors_below_recall_are_compared_exactly(spark, monkeypatch):
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = vectors.near_duplicates(docs, overlap=1).collect()
     assert all((r.n_links, r.component_id, r.audited_recall) == (1, r.vec_id % 200, 1.0) for r in got) and len(got) == 400
+
+
+def test_exceptions_of_more_than_500_stems(spark):
+    rng = random.Random(23)
+    common = words_of(rng, 200)
+    stems = sorted({"".join(rng.choices("qrstuvwxy", k=4)) for _ in range(560)})
+    docs, labels = [], []
+    for i in range(2400):
+        words = rng.choices(common, k=30)
+        if i % 2:
+            words += [stems[(i // 2 * 13 + j) % len(stems)] + "k" for j in range(13)]
+            words += ["zzzz" + "abcdefgh"[i // 10 % 8]] if i % 5 == 0 else []
+        elif i % 100 == 0:
+            words.append("zzzzfriend")
+        docs.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = [x for x, _ in model.weights if not x.endswith(" ")]
+    assert len(found) > 500 and "zzzz" in found
+    assert any(x.startswith("zzzzf") for x in model.exceptions)
