@@ -4,7 +4,12 @@ Sets of shingles of five words get MinHash signatures. A run takes one coordinat
 share a bucket, and a pair at the threshold does so with a probability of the threshold at least. Buckets that are small are
 compared by brute force on signatures. In a large bucket every set is compared with a pivot, sets almost equal to it are
 settled by that, and the others are split again on further coordinates, chosen from a hash of the path so far, two for each
-node. Runs are repeated until a pair at the threshold is lost with a probability below ``1 - RECALL``.
+node.
+
+Runs come in rounds of as many as would lose a pair at the threshold with a probability below ``1 - EXPECTED`` if runs were
+independent. As they are not quite, recall is measured after each round: the links of a bounded set of texts (``AUDIT``) are
+counted in all rows while these are sketched, and rounds on fresh coordinates are added until the share of them that the join
+found reaches ``RECALL``. If it still has not when the coordinates are used up, all pairs of sets are compared, block by block.
 
 What brute force passes, far below the threshold, only links sets into candidate classes. Within each class all pairs are
 then compared exactly, on whole sets of shingles, in tiles of bounded size; a bucket that no path splits becomes a class as it
@@ -26,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.llm.words import Words, mix, slices
+from lectern.llm.words import Words, forest, mix, slices
 from lectern.operators.components import components
 from lectern.plans.shared import materialize, shuffle_partitions, spread
 
 SHINGLE = 5
 #: Similarity as a fraction, so that pairs on the threshold are decided exactly.
 NUMERATOR, DENOMINATOR = 4, 5
-RECALL = 0.999999
+EXPECTED, RECALL = 0.999999, 0.99
+#: Most texts whose links are counted, and the longest of them in characters; longer ones are joined like others.
+AUDIT, AUDIT_CHARS = 1_000, 100_000
 COORDINATES = 64
 SMALL, DEPTH, BRANCHES = 128, 4, 2
 #: Likenesses of signatures: from which two sets are candidates, and from which a pivot settles a set.
@@ -55,7 +62,8 @@ def runs_for(recall: float, similarity: float = NUMERATOR / DENOMINATOR, depth:
     return math.ceil(math.log(1 - recall) / math.log(1 - kept))
 
 
-RUNS = runs_for(RECALL)
+RUNS = runs_for(EXPECTED)
+ROUNDS = COORDINATES // RUNS
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -82,27 +90,71 @@ def _identity(shingle_set: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest(), dtype=np.int64)
 
 
-def _sketch(batches):
-    """Rows with s0, s1, n, sig and paths of their texts behind their own columns."""
-    import pyarrow as pa
+class Audit:
+    """The distinct sets among some texts, indexed by shingle."""
+
+    def __init__(self, texts: list[str]):
+        sets = {tuple(_identity(x).tolist()): x for x in (shingles(t.encode()) for t in texts) if len(x)}
+        self.keys = sorted(sets)
+        found = [sets[k] for k in self.keys]
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)[order]
+        self.values, self.first = np.unique(values[order], return_index=True)
+        self.last = np.append(self.first[1:], len(values))
+
+    def linked(self, shingle_set: np.ndarray) -> list[int] | None:
+        """Numbers of the indexed sets that a set is at the threshold with; None if there are none."""
+        if not len(self.values) or not len(shingle_set):
+            return None
+        at = np.minimum(np.searchsorted(self.values, shingle_set), len(self.values) - 1)
+        at = at[self.values[at] == shingle_set]
+        if not len(at):
+            return None
+        count = self.last[at] - self.first[at]
+        places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[at], count)
+        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        near = np.flatnonzero((NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (self.sizes + len(shingle_set)))
+        return near.tolist() or None
+
+
+def _sketch(audit: Audit):
+    """Rows with s0, s1, n, sig of their texts behind their own columns, and the audited sets that they are linked to."""
 
-    run = np.arange(RUNS)
-    for batch in slices(batches):
-        found = [shingles(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        signatures = [signature(x) for x in found]
-        ids = np.array([_identity(x) for x in found]).reshape(-1, 2)
-        paths = [_paths(run.astype(np.uint64), run, s[:RUNS]) for s in signatures]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns,
-                pa.array(ids[:, 0]),
-                pa.array(ids[:, 1]),
-                pa.array([len(x) for x in found], pa.int64()),
-                pa.array([x.tobytes() for x in signatures], pa.binary()),
-                pa.array(paths, pa.list_(pa.int64())),
-            ],
-            names=[*batch.schema.names, "s0", "s1", "n", "sig", "paths"],
-        )
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            ids, sizes, signatures, seen = [], [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                found = shingles(text or b"")
+                ids.append(_identity(found))
+                sizes.append(len(found))
+                signatures.append(signature(found).tobytes())
+                seen.append(audit.linked(found))
+            ids = np.array(ids).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(seen, pa.list_(pa.int32()))],
+                names=[*batch.schema.names, "s0", "s1", "n", "sig", "audited"],
+            )
+
+    return run
+
+
+def _starts(turn: int):
+    """The buckets of each set in the runs of one round; rows: rep, sig."""
+    run_ids = np.arange(turn * RUNS, (turn + 1) * RUNS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            paths = _paths(run_ids.astype(np.uint64)[None, :], run_ids[None, :], sigs[:, run_ids])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), RUNS)), pa.array(paths.ravel())], names=["rep", "path"])
+
+    return run
 
 
 def _grouped(batches):
@@ -120,15 +172,8 @@ def _grouped(batches):
 
 
 def _forest(near: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix the least row of its component."""
-    label = np.arange(len(near))
-    near = near | np.eye(len(near), dtype=bool)
-    while True:
-        new = np.where(near, label[None, :], len(near)).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    """For each row of a boolean matrix the least row of its component."""
+    return forest(len(near), *np.nonzero(near))
 
 
 def _brute(batches):
@@ -178,26 +223,32 @@ def _split(level: int):
     return run
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Edges a, b between sets (rep, sig, paths) that share a bucket and are alike by their signatures, as spanning forests."""
-    level = sets.select("rep", F.explode("paths").alias("path"))
-    sigs = sets.select("rep", "sig")
+def _candidates(sets: DataFrame, turn: int) -> DataFrame:
+    """Edges a, b between sets (rep, sig) that share a bucket in a round and are alike by their signatures, as spanning forests.
+
+    No join here is a broadcast: how many sets share buckets grows with the table, and the plan is the same at every size.
+    """
+    n = shuffle_partitions(sets.sparkSession)
+    level = sets.mapInArrow(_starts(turn), "rep long, path long")
     edges: DataFrame | None = None
     for depth in range(DEPTH + 1):
-        # Written, so that the join that follows shuffles both sides and large buckets can be split between tasks.
-        sizes = materialize(level.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1"), "bucket-sizes")
-        shared = materialize(level.join(sizes, "path"), "buckets")
-        small = shared.filter(F.col("n") <= SMALL).select("path", "rep").join(sigs, "rep").select("path", "rep", "sig")
-        found = small.repartition(shuffle_partitions(sets.sparkSession), "path").sortWithinPartitions("path", "rep").mapInArrow(_brute, "a long, b long")
+        # Written, so that the join that follows shuffles both sides and large buckets can be split between tasks. Buckets are
+        # numbered by falling size within each part, and dealt in turn, so that no task gets several of the largest by chance.
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").sortWithinPartitions(F.desc("n"))
+        sizes = materialize(sizes.withColumn("_to", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), "bucket-sizes")
+        shared = materialize(level.join(sizes.hint("merge"), "path"), "buckets")
+        small = shared.filter(F.col("n") <= SMALL).select("path", "rep", "_to").join(sets.hint("merge"), "rep")
+        small = small.repartitionById(n, F.col("_to")).sortWithinPartitions("path", "rep").select("path", "rep", "sig")
+        found = small.mapInArrow(_brute, "a long, b long")
         large = shared.filter(F.col("n") > SMALL)
         if depth == DEPTH or large.isEmpty():
             found = found.unionByName(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
             edges = found if edges is None else edges.unionByName(found)
             break
-        pivot = large.select("pivot").distinct().join(sigs.withColumnRenamed("rep", "pivot").withColumnRenamed("sig", "pivot_sig"), "pivot")
+        pivot = large.select("pivot").distinct().join(sets.withColumnsRenamed({"rep": "pivot", "sig": "pivot_sig"}).hint("merge"), "pivot")
         pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = large.join(sigs, "rep").withColumn("salt", F.pmod(F.xxhash64("rep", "path"), F.lit(SALTS)).cast("int"))
-        split = salted.join(pivot, ["pivot", "salt"]).select("path", "rep", "sig", "pivot", "pivot_sig")
+        salted = large.join(sets.hint("merge"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep", "path"), F.lit(SALTS)).cast("int"))
+        split = salted.join(pivot.hint("merge"), ["pivot", "salt"]).select("path", "rep", "sig", "pivot", "pivot_sig")
         split = materialize(split.mapInArrow(_split(depth), "rep long, pivot long, near boolean, paths array<long>"), "splits")
         found = found.unionByName(split.filter("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         edges = found if edges is None else edges.unionByName(found)
@@ -209,7 +260,7 @@ def _sets(batches):
     """The whole sets of candidates."""
     import pyarrow as pa
 
-    for batch in slices(batches, 500):
+    for batch in slices(batches):
         found = [shingles(x or b"").view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
         kept = [batch.column(c) for c in ("rep", "class", "copies", "blocks")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=["rep", "class", "copies", "blocks", "shingles"])
@@ -280,33 +331,14 @@ def _tile(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "root"])
 
 
-def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` and the sets of their shingles.
-
-    Rows: row (a number of its own), doc_id (never null), text, ``columns``, s0, s1 and n. Sets: s0, s1, the root of their
-    component, class_id and n_links; rows without words (n = 0) have none.
-    """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
-    schema = StructType([*rows.schema, *StructType.fromDDL("s0 long, s1 long, n long, sig binary, paths array<long>")])
-    # Numbered as they are written: the numbers are unique, and stay.
-    sketches = materialize(spread(rows).mapInArrow(_sketch, schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    some = sketches.filter("n > 0")
-    sets = some.groupBy("s0", "s1").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    sets = materialize(sets, "sets")
-    shown = some.select(F.col("row").alias("rep"), "sig", "paths").join(sets.select("rep"), "rep")
-    shown = materialize(shown, "signatures")
-
-    classes = components(_candidates(shown)).select(F.col("id").alias("rep"), F.col("root").alias("class"))
-    members = materialize(sets.join(classes, "rep"), "members")
+def _links(sketches: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, links, root: the exact links within each class of ``members`` (rep, class, copies, n), a row for each tile that has some."""
     size = members.groupBy("class").agg(F.count("*").alias("_k"), F.sum("n").alias("_n"))
     size = materialize(size.select("class", F.greatest(F.ceil(F.col("_k") / BLOCK_SETS), F.ceil(F.col("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "class-sizes")
-    wanted = members.join(size, "class").select("rep", "class", "copies", "blocks")
-    # Never a broadcast: how many candidates there are is not bounded, and the plan is the same at every size.
+    wanted = members.join(size.hint("merge"), "class").select("rep", "class", "copies", "blocks")
     texts = sketches.select(F.col("row").alias("rep"), "text").join(wanted.hint("merge"), "rep")
     whole = texts.mapInArrow(_sets, "rep long, class long, copies long, blocks int, shingles array<long>")
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(sketches.sparkSession)
     tiles = (
         whole.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -317,22 +349,89 @@ def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         .withColumn("_to", F.pmod(F.xxhash64("class") % n + F.col("_lo").cast("long") * F.col("blocks") - F.expr("_lo * (_lo - 1) div 2") + F.col("_hi") - F.col("_lo"), F.lit(n)).cast("int"))
     )
     tiles = tiles.repartitionById(n, F.col("_to")).sortWithinPartitions("tile", "block", "rep")
-    links = materialize(tiles.select("tile", "rep", "copies", "block", "other", "shingles").mapInArrow(_tile, "rep long, links long, root long"), "links")
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    # Written before they are joined, since a component may be large.
-    roots = materialize(roots.join(sets.select("rep", "id"), "rep"), "roots")
-    least = materialize(roots.groupBy("root").agg(F.min("id").alias("class_id")), "least-ids")
-    found = sets.join(counts, "rep", "left").join(roots.join(least, "root").select("rep", "root", "class_id"), "rep", "left")
-    return sketches, found.select("s0", "s1", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return materialize(tiles.select("tile", "rep", "copies", "block", "other", "shingles").mapInArrow(_tile, "rep long, links long, root long"), "links")
+
+
+def _recall(audit: Audit, sketches: DataFrame, found: DataFrame) -> float:
+    """Share of the links of the audited sets, as counted in all rows, that ``found`` (s0, s1, n_links) has."""
+    if not audit.keys:
+        return 1.0
+    counted = sketches.filter("audited is not null").select(F.explode("audited").alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    asked = sketches.sparkSession.createDataFrame([(i, *k) for i, k in enumerate(audit.keys)], "at int, s0 long, s1 long")  # at most AUDIT rows
+    have = found.join(F.broadcast(asked), ["s0", "s1"]).select("at", "n_links").join(F.broadcast(counted), "at")
+    rows = have.select("n_links", (F.col("n") - 1).alias("true")).collect()
+    want = sum(r["true"] for r in rows)
+    return sum(min(r["n_links"], r["true"]) for r in rows) / want if want else 1.0
+
+
+def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame, float]:
+    """The rows of ``docs``, the sets of their shingles and the recall measured.
+
+    Rows: row (a number of its own), doc_id (never null), text, ``columns``, s0, s1 and n. Sets: s0, s1, the root of their
+    component, class_id and n_links; rows without words (n = 0) have none.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+    some = rows.select("text", F.xxhash64("doc_id", "text").alias("_h")).filter(F.length("text").between(1, AUDIT_CHARS)).orderBy("_h", "text").limit(AUDIT)
+    audit = Audit([r["text"] for r in some.collect()])  # bounded in rows and in characters
+    schema = StructType([*rows.schema, *StructType.fromDDL("s0 long, s1 long, n long, sig binary, audited array<int>")])
+    # Numbered as they are written: the numbers are unique, and stay.
+    sketches = materialize(spread(rows).mapInArrow(_sketch(audit), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    some = sketches.filter("n > 0")
+    sets = some.groupBy("s0", "s1").agg(F.min("row").alias("rep"), F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    sets = materialize(sets, "sets")
+    shown = materialize(some.select(F.col("row").alias("rep"), "sig").join(sets.select("rep").hint("merge"), "rep"), "signatures")
+
+    edges: DataFrame | None = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            more = _candidates(shown, turn)
+            edges = more if edges is None else edges.unionByName(more)
+            classes = components(edges).select(F.col("id").alias("rep"), F.col("root").alias("class"))
+            members = materialize(sets.join(classes.hint("merge"), "rep"), "members")
+        else:
+            members = materialize(sets.withColumn("class", F.lit(0).cast("long")), "members")
+        links = _links(sketches, members)
+        counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
+        roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+        # Written before they are joined, since a component may be large.
+        roots = materialize(roots.join(sets.select("rep", "id").hint("merge"), "rep"), "roots")
+        least = materialize(roots.groupBy("root").agg(F.min("id").alias("class_id")), "least-ids")
+        of = roots.join(least.hint("merge"), "root").select("rep", "root", "class_id")
+        found = sets.join(counts.hint("merge"), "rep", "left").join(of.hint("merge"), "rep", "left")
+        found = found.select("s0", "s1", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        found = materialize(found, "linked-sets")
+        recall = _recall(audit, sketches, found)
+        if recall >= RECALL:
+            break
+    return sketches, found, recall
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text).
+    """doc_id, class_id, n_links, audited_recall of every row of ``docs`` (doc_id, text).
 
     ``n_links`` counts the other rows at a similarity of four fifths or more; ``class_id`` is the least doc_id that links lead to.
     """
-    rows, sets = linked(docs)
-    out = rows.select("doc_id", "s0", "s1", "n").join(sets, ["s0", "s1"], "left")
+    rows, sets, recall = linked(docs)
+    # Both sides are shuffled by the planner, so that a set that very many rows share can be split between tasks.
+    out = rows.select("doc_id", "s0", "s1", "n").join(sets.hint("merge"), ["s0", "s1"], "left")
     no_id = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(no_id(F.col("doc_id")).alias("doc_id"), no_id(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(no_id(F.col("doc_id")).alias("doc_id"), no_id(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lit(recall).alias("audited_recall"))
+
+
+def join_sql(size: int = SHINGLE, threshold: str = f"{DENOMINATOR} * held >= {NUMERATOR} * (a.n + b.n - held)") -> str:
+    """The same result in DuckDB's SQL, by brute force over all pairs of sets that share a shingle."""
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+sets AS (SELECT doc_id, r, list_sort(list_distinct([array_to_string(w[i : i + {size - 1}], ' ') FOR i IN range(1, greatest(len(w) - {size - 2}, least(len(w) + 1, 2)))])) AS s FROM words),
+kinds AS (SELECT s, min(r) AS k, count(*) AS copies, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT k, unnest(s) AS g FROM kinds),
+common AS (SELECT x.k AS ka, y.k AS kb, count(*) AS held FROM grams x JOIN grams y ON x.g = y.g AND x.k <> y.k GROUP BY ALL),
+links AS (SELECT ka, kb, b.copies FROM common JOIN kinds a ON a.k = ka JOIN kinds b ON b.k = kb WHERE {threshold}),
+reach(k, root) AS (SELECT k, k FROM kinds UNION SELECT l.kb, reach.root FROM reach JOIN links l ON l.ka = reach.k),
+roots AS (SELECT k, min(root) AS root FROM reach GROUP BY k),
+ids AS (SELECT root, min(doc_id) AS class_id FROM roots JOIN kinds USING (k) JOIN sets USING (s) GROUP BY root),
+counts AS (SELECT k, any_value(c.copies) - 1 + coalesce(sum(l.copies), 0) AS n_links FROM kinds c LEFT JOIN links l ON l.ka = c.k GROUP BY k)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, 1.0::DOUBLE AS audited_recall
+FROM sets LEFT JOIN kinds USING (s) LEFT JOIN roots USING (k) LEFT JOIN ids USING (root) LEFT JOIN counts USING (k)"""

@@ -28,9 +28,10 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size and the hash that shuffles, one row per document."""
+def sized(docs: DataFrame, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, the hash that shuffles and the column ``row``, if named, as ``_row``; one row per document."""
     rows = docs.select(
+        *([F.col(row).alias("_row")] if row else []),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
@@ -76,17 +77,19 @@ def schedule(spark, shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFr
     return prefix_sums(found, "_chunk", ["slot"], F.lit(1), ["source"], "rank").drop("_chunk")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, seed: int = SEED, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, source, size, source_size, target, _key) and the mix: slot, source, _key, doc_id, from_word, to_word.
 
     A row of the mix is a stretch of words of one document; slots in order, and in a slot by ``at``, give the mixed text.
+    ``row`` names a column that tells rows apart; the documents then keep it as ``_row``.
     """
     spark = docs.sparkSession
-    rows = sized(docs, seed)
+    rows = sized(docs, seed, row)
+    own = ["_row"] if row else []
     shares = materialize(targets(rows, weights, max_repeats), "mix-targets")
-    laid = prefix_sums(rows, "_hb", ["_h", "doc_id", "size"], F.col("size"), ["source"], "_start")
+    laid = prefix_sums(rows, "_hb", ["_h", "doc_id", "size", *own], F.col("size"), ["source"], "_start")
     laid = laid.join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    laid = materialize(laid.select("doc_id", "source", "size", "source_size", "target", F.col("_start").alias("_key")), "mix-laid")
+    laid = materialize(laid.select(*own, "doc_id", "source", "size", "source_size", "target", F.col("_start").alias("_key")), "mix-laid")
     slots = materialize(schedule(spark, shares, block_words), "mix-slots")
     taken = slots.groupBy(F.col("source").alias("_s")).agg((F.max("rank") + 1).alias("_slots"))
     last = F.least(F.col("_slots") * block_words, max_repeats * F.col("source_size"))
@@ -115,14 +118,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block_words: int
 
 
 def taken_words(laid: DataFrame, mixed: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document.
+    """doc_id, size, source_size, target, taken of every document, and ``_row`` if the documents have it.
 
     A document is known by its source and its place in the source's order, where documents without words share their place
     with the next one and take nothing.
     """
     got = mixed.groupBy(F.col("source").alias("_s"), F.col("_key").alias("_k")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("size") > 0)
-    return laid.join(got, on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return laid.join(got, on, "left").select(*[c for c in laid.columns if c == "_row"], "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_sql(weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> str:

@@ -68,4 +68,10 @@ _OPERATORS = (
     op10_source_schedule,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op4_rare_token_licenses": licenses.scan_sql(), "op6_stratified_shards": sharding.shard_sql(), "op10_source_schedule": mixing.mix_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_rare_token_licenses": licenses.scan_sql(),
+    "op5_chosen_path_join": jaccard.join_sql(),
+    "op6_stratified_shards": sharding.shard_sql(),
+    "op9_seed_extend": substrings.repeats_sql(),
+    "op10_source_schedule": mixing.mix_sql(),
+}

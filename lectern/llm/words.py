@@ -1,29 +1,21 @@
-"""Words of a text, and hashes of runs of words, in vectors.
+"""Words of a text, hashes of runs of words in vectors, and Arrow batches cut to bounded bytes.
 
-Words are runs of anything but the ASCII spaces (blank, tab to carriage return). Hashes are polynomials over the bytes of
-the words joined by single blanks, modulo 2^64, with random values for bytes; any run is hashed in constant time from
-prefix sums, since the base is odd and so has an inverse.
+Words are runs of anything but the ASCII spaces (blank, tab to carriage return). Each word has a hash of 128 bits; the hash of
+a run is built from those of its words by doubling, with a finalizer at every step, so that no structure of the words, such
+as repeats or mirrored patterns, makes different runs collide.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import ctypes
 
-_random = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _random.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+import numpy as np
+from xxhash import xxh3_128_digest
 
+#: Most bytes of a batch that a kernel works on at once; a longer text is worked on by itself.
+SLICE_BYTES = 2 << 20
 
-def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,40 +25,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` neighbours of ``x``, along the first axis; none if there are fewer."""
+    if len(x) < n:
+        return x[:0]
+    out, have, part, width = None, 0, x, 1
+    while width <= n:
+        if n & width:
+            out = part if out is None else mix(out[: len(part) - have] * _LEFT + part[have:] * _RIGHT)
+            have += width
+        if 2 * width <= n:
+            part = mix(part[:-width] * _LEFT + part[width:] * _RIGHT)
+        width *= 2
+    return out[: len(x) - n + 1]
+
+
 class Words:
     """The words of one text."""
 
     def __init__(self, text: bytes):
         self.words = text.split()
-        joined = np.frombuffer(b" ".join(self.words), dtype=np.uint8)
-        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
-        power, self._inverse = _up_to(len(joined) + 1)
-        self._sums = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_BYTE[joined] * power[: len(joined)], out=self._sums[1:])
+        self.hashes = np.frombuffer(b"".join(map(xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
 
     def __len__(self) -> int:
         return len(self.words)
 
-    def runs(self, first: np.ndarray, count: np.ndarray | int) -> np.ndarray:
-        """Hashes of the runs of ``count`` words that start at the words ``first``."""
-        a, b = self.starts[first], self.ends[first + count - 1]
-        return mix((self._sums[b] - self._sums[a]) * self._inverse[a])
-
     def grams(self, n: int) -> np.ndarray:
-        """Hashes of all runs of ``n`` words; none if there are fewer words."""
-        if len(self) < n:
-            return np.zeros(0, np.uint64)
-        a, b = self.starts[: len(self) - n + 1], self.ends[n - 1 :]
-        return mix((self._sums[b] - self._sums[a]) * self._inverse[a])
+        """Hashes of 64 bits of all runs of ``n`` words; none if there are fewer words."""
+        return run_hashes(self.hashes[:, 0], n)
+
+    def wide_grams(self, n: int) -> np.ndarray:
+        """Hashes of 128 bits of all runs of ``n`` words, as two columns."""
+        return run_hashes(self.hashes, n)
+
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
-def slices(batches, rows: int = 1000):
-    """Arrow batches cut finer, so that what a worker holds besides the batch is bounded by fewer texts."""
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits holds no more than it uses."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def slices(batches, size: int = SLICE_BYTES):
+    """Arrow batches cut into parts of about ``size`` bytes, so that what a kernel holds besides the batch is bounded."""
     for batch in batches:
+        rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        release()
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,3 +90,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         out, have = np.minimum(out[:-have], out[have:]), 2 * have
     rest = width - have
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the least node of its component, given the edges between ``a`` and ``b``."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (least == label[a]).all() and (least == label[b]).all():
+            return label
+        # Roots are hooked as well, so that a component needs few rounds however long it is.
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(label, at, least)
+        label = label[label]
