@@ -10,13 +10,17 @@ All but the last return the columns of ``documents``:
 3. repeats: words in windows of 35 that occur more than once leave the texts; ``n_chars`` is that of what is left. Texts that
    lose every word stay as empty documents.
 4. mix: documents stay as often as the mix to target weights takes them whole, rounded up to whole documents, once at least if
-   it takes any of their words; documents that the mix takes nothing of go. Repeats are rows of their own.
+   it takes any of their words; documents that the mix takes nothing of go. Repeats are rows of their own. Each row counts by
+   itself, whatever its doc_id.
 5. encode: doc_id, n_tokens and digests of ids and decoded text.
+
+Stages take extra columns and leave them out. Null and empty texts pass the first three stages; the mix takes none of their words,
+so that they end there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, jaccard, mixing, substrings, toxicity
@@ -25,11 +29,6 @@ from lectern.plans.shared import materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _id() -> Column:
-    """doc_id, with a value of its own for null, since joins don't match nulls."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.NO_ID)).alias("_id")
-
-
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
@@ -42,9 +41,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     given = docs.withColumn("_given", F.col("doc_id")).withColumn("_like", F.xxhash64("text", *rest))
-    rows, sets = jaccard.linked(given, "_given", "_like", *rest)
+    rows, sets, _ = jaccard.linked(given, "_given", "_like", *rest)
     # Groups go by the number of a row of theirs. Rows that tie go by a hash of their columns, so that no text is moved to choose.
-    grouped = rows.select("row", "doc_id", "_like", "s0", "s1").join(sets.select("s0", "s1", "root"), ["s0", "s1"], "left")
+    grouped = rows.select("row", "doc_id", "_like", "s0", "s1").join(sets.select("s0", "s1", "root").hint("merge"), ["s0", "s1"], "left")
     first = F.min(F.struct("doc_id", "_like", "row"))["row"]
     kept = grouped.groupBy(F.coalesce("root", "row").alias("_group")).agg(first.alias("row")).select("row")
     return rows.drop("doc_id").withColumnRenamed("_given", "doc_id").join(kept.hint("merge"), "row").select(*COLUMNS)
@@ -55,9 +54,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.taken_words(*mixing.mix(docs)).filter("taken > 0").groupBy(_id()).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    rows = _columns(docs).withColumn("_id", _id()).join(taken.hint("merge"), "_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    # Numbered as they are written: the numbers are unique, and stay. All is decided on numbers, and each text is moved once.
+    rows = materialize(_columns(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mixing.taken_words(*mixing.mix(rows, row="_row")).filter("taken > 0")
+    times = taken.select("_row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(times.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "contraction")
         maps.append(step)
-        moved = left.join(step, "a").select("b", F.col("to").alias("_a"))
-        moved = moved.join(step.withColumnRenamed("a", "b"), "b").select(F.col("_a").alias("a"), F.col("to").alias("b"))
+        moved = left.join(step.hint("merge"), "a").select("b", F.col("to").alias("_a"))
+        moved = moved.join(step.withColumnRenamed("a", "b").hint("merge"), "b").select(F.col("_a").alias("a"), F.col("to").alias("b"))
         left = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     if not maps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
     found = maps[0].select(F.col("a").alias("id"), F.col("to").alias("root"))
     for step in maps[1:]:
-        found = found.join(step.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        found = found.join(step.withColumnRenamed("a", "root").hint("merge"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
     return materialize(found, "components")
