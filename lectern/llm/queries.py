@@ -72,6 +72,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_rare_token_licenses": licenses.scan_sql(),
     "op5_chosen_path_join": jaccard.join_sql(),
     "op6_stratified_shards": sharding.shard_sql(),
+    "op8_flat_graph": vectors.pairs_sql(),
     "op9_seed_extend": substrings.repeats_sql(),
     "op10_source_schedule": mixing.mix_sql(),
 }
