@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from lectern.llm.words import slices
 from lectern.plans.shared import spread
 
-#: Distinct pieces in one generation of a worker's memory, which holds two; bounds memory, not results.
-MAX_PIECES = 250_000
+#: Bytes of one generation of a worker's memory, which holds two, and of the longest piece that is remembered: bounds of memory, not of results.
+MEMO_BYTES, PIECE_BYTES = 24 << 20, 64
+#: What a piece and its ids take besides their own bytes.
+_ENTRY = 200
 
 #: Letters, digits and spaces of Latin-1 after lower-casing; in this range normalization changes nothing but case and spaces.
 _L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -43,15 +45,18 @@ class _Memo(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.size = encode, {}, 0
 
     def __missing__(self, piece):
-        if len(self) >= MAX_PIECES:
-            self.old = dict(self)
-            self.clear()
+        if len(piece) > PIECE_BYTES:
+            return array("I", self.encode(piece)).tobytes()
         ids = self.old.get(piece)
         if ids is None:
             ids = array("I", self.encode(piece)).tobytes()
+        self.size += len(piece) + len(ids) + _ENTRY
+        if self.size > MEMO_BYTES:
+            self.old, self.size = dict(self), 0
+            self.clear()
         self[piece] = ids
         return ids
 
@@ -139,12 +144,16 @@ class ForcedBoundaryEncoder(PieceEncoder):
 
 @lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    encoder = PieceEncoder(path)
+    del encoder.spec  # serves to set up only
+    return encoder
 
 
 @lru_cache(maxsize=2)
 def forced_boundary_encoder(path: str) -> ForcedBoundaryEncoder:
-    return ForcedBoundaryEncoder(path)
+    encoder = ForcedBoundaryEncoder(path)
+    del encoder.spec
+    return encoder
 
 
 def _encoded(path: str, digest: bool):

@@ -7,7 +7,7 @@ their common anchors whose positions agree up to one shift, among the anchors of
 
 Null and empty texts have an empty fingerprint, which is like itself (1) and unlike any other (0). Texts shorter than a k-mer
 have one anchor, the whole text. Equal texts have equal fingerprints. The next document is the next row in the order of
-doc_id (null first), ties by text; after the last comes the first, and a single document is its own next. Extra columns are
+doc_id (null first), ties by a hash of the text and then by text; after the last comes the first, and a single document is its own next. Extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -19,9 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.words import mix, sliding_min
-from lectern.operators.ordered import range_bounds, range_bucket
-from lectern.plans.shared import shuffle_partitions
+from lectern.llm.words import mix, slices, sliding_min
+from lectern.operators.ordered import range_bounds, with_range
+from lectern.plans.shared import ranges_for
 
 K, S, KEEP = 16, 4, 40
 _HASH_BITS = 48
@@ -100,7 +100,7 @@ def _fingerprints(batches):
     import pyarrow as pa
 
     before, rows = None, []
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, data, copied in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             text = data.decode("utf-8", "replace")
             now = (doc_id, text, sketch(text), copied)
@@ -121,21 +121,22 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     The text is shuffled once, by ranges of doc_id; the first row of each range is copied to the range before it.
     """
-    n = shuffle_partitions(docs.sparkSession)
-    bounds = range_bounds(docs, "doc_id", n)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), key.alias("_key"))
-    rows = rows.withColumn("_range", range_bucket(F.col("doc_id"), bounds))
-    firsts = sorted((r["_range"], r["_first"]) for r in rows.groupBy("_range").agg(F.min("_key").alias("_first")).collect())  # one row per range
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_tie"))
+    keys = [F.col("doc_id"), F.col("_tie")]
+    bounds = range_bounds(rows, keys, ranges_for(rows))
+    rows = with_range(rows, keys, bounds, "_range")
+    # One row per range, of which there are 1 << 17 at most.
+    firsts = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_known"), *keys)).alias("_f")).select("_range", "_f.doc_id", "_f._tie").collect())
     if not firsts:
         return rows.sparkSession.createDataFrame([], _OUT)
-    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-    to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_key"))
-    copies = rows.filter(F.col("_key").isin(list(before))).withColumn("_range", to)
+    before = [(firsts[i - 1][0], *f[1:]) for i, f in enumerate(firsts)]
+    before = F.broadcast(rows.sparkSession.createDataFrame(before, "_to int, _id long, _t long"))
+    copies = rows.join(before, (F.col("_tie") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "_tie", F.col("_to").alias("_range"))
     both = rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
     return (
         both.repartitionById(len(bounds) + 1, F.col("_range"))
-        .sortWithinPartitions("_copy", "_key", "text")
+        .sortWithinPartitions("_copy", F.asc_nulls_first("doc_id"), "_tie", "text")
         .select("doc_id", "text", "_copy")
         .mapInArrow(_fingerprints, _OUT)
     )

@@ -6,7 +6,7 @@ Each row keeps its part and the ids of its part before it; the offset of a part
 stripe can be read by itself and still know its place in the whole stream.
 
 Null and empty texts are stored as the end id alone. Rows without a doc_id come first. Repeated ids are stored as often as
-they occur, ordered by text. An empty table gives an empty store. Extra columns are not stored.
+they occur, ordered by a hash of the text, so that a very common id (or none) is split between ranges too. An empty table gives an empty store. Extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import default_tokenizer, piece_encoder
 from lectern.llm.words import slices
-from lectern.operators.ordered import range_bounds, range_bucket
-from lectern.plans.shared import shuffle_partitions
+from lectern.operators.ordered import range_bounds, with_range
+from lectern.plans.shared import ranges_for
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Stripes are the unit of parallel reads; row groups the unit of pruning within a stripe.
@@ -52,13 +52,16 @@ def _encode(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, stripe_bytes: int = STRIPE_BYTES, row_group: int = ROW_GROUP) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) and write the store at ``path``."""
-    n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    part = range_bucket(F.col("doc_id"), range_bounds(docs, "doc_id", n))
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    keys = [F.col("doc_id"), F.col("_tie")]
+    bounds = range_bounds(rows, keys, ranges_for(rows))
     (
-        rows.select("doc_id", part.alias("part"), "text")
-        .repartitionById(n, F.col("part"))
-        .sortWithinPartitions("part", "doc_id", "text")
+        with_range(rows, keys, bounds, "part")
+        .select("doc_id", "part", "text", "_tie")
+        .repartitionById(len(bounds) + 1, F.col("part"))
+        .sortWithinPartitions("part", "doc_id", "_tie", "text")
+        .select("doc_id", "part", "text")
         .mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), STORED)
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", stripe_bytes)
@@ -73,7 +76,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows with ``start``: ids of all documents before each. Filters on doc_id reach the stripes."""
     stored = spark.read.schema(STORED).orc(path)
-    # One row per part, and parts are as many as the shuffle partitions of the write: a bounded table.
+    # One row per part, and a part is a task of the write, 1 << 17 at most: a bounded table.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     return stored.join(F.broadcast(sums), "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))

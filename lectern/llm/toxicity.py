@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.jaccard import shingles
+from lectern.llm.words import slices
 from lectern.plans.shared import materialize, spread
 
 #: Most toxic and most other labelled rows that the lexicon is fitted on, taken in the order of a hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
-#: Most candidates and most entries of the lexicon.
-MAX_CANDIDATES = 4_096
 #: Toxic documents that an entry must occur in, beyond those that a stronger entry of the same beginning explains.
 MIN_DOCS = 4
 #: Least log-odds of an entry (eight times likelier in toxic documents), and least log-odds times toxic documents.
@@ -104,7 +104,14 @@ class Matcher:
                 elif (not whole or end + 1 == size or not text[end + 1].isalpha()) and (start not in hits or hits[start][1] < weight):
                     hits[start] = (entry, weight)
         if masked:
-            hits = {s: x for s, x in hits.items() if not any(a <= s <= b for a, b in masked)}
+            merged: list[list[int]] = []
+            for a, b in sorted(masked):
+                if merged and a <= merged[-1][1] + 1:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            starts = [a for a, _ in merged]
+            hits = {s: x for s, x in hits.items() if not ((at := bisect_right(starts, s)) and s <= merged[at - 1][1])}
         return list(hits.values())
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -128,7 +135,7 @@ def matcher(model: Model) -> Matcher:
 def word_features(text: str) -> set[str]:
     """The beginnings of the distinct words of a folded text, and the words with a space behind them."""
     words = {w for w in "".join(c if c.isalpha() else " " for c in text).split() if len(w) >= 3}
-    return {w[:n] for w in words for n in PREFIXES if len(w) > n} | {f"{w[:40]} " for w in words if len(w) <= 40}
+    return {w[:n] for w in words for n in PREFIXES if len(w) > n} | {f"{w} " for w in words}
 
 
 def _count(batches):
@@ -144,18 +151,22 @@ def _count(batches):
         seen[1].clear()
         return batch
 
-    for batch in batches:
+    size = 0
+    for batch in slices(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update(word_features(fold(text or "")))
-            if len(seen[0]) + len(seen[1]) > 200_000:
+            found = word_features(fold(text or ""))
+            seen[toxic].update(found)
+            size += sum(map(len, found))
+            if size > 4_000_000:
                 yield out()
+                size = 0
     yield out()
 
 
 def _least_shingle(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         least = [int(x[0]) if len(x) else 0 for x in (shingles((t or "").encode()) for t in batch.column(0).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(least, np.uint64).view(np.int64))], names=["text", "_toxic", "_like"])
 
@@ -187,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     counts = materialize(counts.filter((F.col("pos") >= MIN_DOCS) | (F.col("neg") >= MIN_DOCS)).withColumn("weight", odds), "toxic-counts")
     rank = F.col("weight") * F.col("pos")
     strong = (F.col("pos") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT) & (F.col("weight") * F.col("pos") >= MIN_EVIDENCE)
-    found = counts.filter(strong).orderBy(rank.desc(), "feature").limit(MAX_CANDIDATES).collect()
+    found = counts.filter(strong).orderBy(rank.desc(), "feature").collect()  # of a bounded sample
     candidates = Model(tuple((r["feature"], r["weight"]) for r in found))
     rows = sample.mapInArrow(_entries(candidates), "toxic int, entries array<string>").collect()  # at most the two bounds
     kept = _explaining([set(r["entries"]) for r in rows if r["toxic"]], {r["feature"]: r["weight"] * r["pos"] for r in found})
@@ -199,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         begins = F.explode(F.array(*[F.left("feature", F.lit(n)) for n in PREFIXES]))
         common = counts.filter((F.col("weight") < 0) & (F.col("neg") >= MIN_DOCS)).select("feature", "neg", begins.alias("stem"))
         within = common.join(docs.sparkSession.createDataFrame([(x,) for x in stems], "stem string"), "stem").select("feature", "neg").distinct()
-        benign = [r["feature"].rstrip(" ") for r in within.orderBy(F.col("neg").desc(), "feature").limit(MAX_CANDIDATES).collect()]
+        benign = [r["feature"].rstrip(" ") for r in within.orderBy(F.col("neg").desc(), "feature").collect()]
     model = Model(weights, tuple(sorted({*map(fold, exceptions), *benign} - {x.rstrip(" ") for x, _ in weights})))
     rows = sample.mapInArrow(_features(model), "toxic int, a double, b double").collect()  # at most the two bounds
     return Model(model.weights, model.exceptions, _logistic(np.array([[1.0, r["a"], r["b"]] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)))
@@ -211,13 +222,19 @@ def _explaining(docs: list[set[str]], rank: dict[str, float]) -> set[str]:
     for i, entries in enumerate(docs):
         for x in entries:
             where.setdefault(x, set()).add(i)
-    kept: dict[str, set[int]] = {}
+    kept: set[str] = set()
+    own: dict[str, list[set[int]]] = {}  # documents of the kept entries by stem,
+    below: dict[str, list[set[int]]] = {}  # and by every beginning of their stems
     for x in sorted(where, key=lambda x: (-rank[x], x)):
         stem = x.rstrip(" ")
-        alike = [d for y, d in kept.items() if y.rstrip(" ").startswith(stem) or stem.startswith(y.rstrip(" "))]
+        begins = [stem[:n] for n in range(1, len(stem) + 1)]
+        alike = [*below.get(stem, []), *(d for y in begins[:-1] for d in own.get(y, []))]
         if len(where[x].difference(*alike)) >= MIN_DOCS:
-            kept[x] = where[x]
-    return set(kept)
+            kept.add(x)
+            own.setdefault(stem, []).append(where[x])
+            for y in begins:
+                below.setdefault(y, []).append(where[x])
+    return kept
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
@@ -237,7 +254,7 @@ def _entries(model: Model):
         import pyarrow as pa
 
         match = all_entries(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(match(fold(t or ""))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "entries"])
 
@@ -255,7 +272,7 @@ def _features(model: Model):
         import pyarrow as pa
 
         match = matcher(model)
-        for batch in batches:
+        for batch in slices(batches):
             x = [match.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "a", "b"])
 
@@ -267,7 +284,7 @@ def _scores(model: Model):
         import pyarrow as pa
 
         score = matcher(model).score
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return run
@@ -288,7 +305,7 @@ def _clean(model: Model, text_at: int):
         import pyarrow as pa
 
         score = matcher(model).score
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
     return run
