@@ -12,30 +12,50 @@ from pyspark.sql import functions as F
 
 #: Leading hexadecimal digits of a hash that name its bucket: 4,096 buckets per group.
 HASH_DIGITS = 3
-#: A balanced tree of comparisons stays within one generated method up to about this many ranges.
+#: A balanced tree of comparisons stays within one generated method up to about this many ranges; more take two levels.
 MAX_RANGES = 1024
+#: Keys that are sampled for each range.
+KEYS_PER_RANGE = 40
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list:
-    """At most ``n - 1`` increasing values of ``key`` that cut the rows into ranges of similar counts."""
-    n = min(n, MAX_RANGES)
+def range_bounds(df: DataFrame, keys: list[Column], n: int, seed: int = 7) -> list[tuple]:
+    """At most ``n - 1`` increasing values of ``keys`` (numbers) that cut the rows into ranges of similar counts.
+
+    The bounds come from a sample of ``KEYS_PER_RANGE`` rows a range, which is all that the driver sees; every row has a range.
+    """
     if n < 2:
         return []
-    cuts = [i / n for i in range(1, n)]
-    got = df.agg(F.percentile_approx(key, cuts, 20 * MAX_RANGES).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    share = KEYS_PER_RANGE * n / max(1, df.count())
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    some = (df.filter(F.rand(seed) < share) if share < 1 else df).select(*named)
+    found = sorted((tuple(r) for r in some.collect()), key=lambda r: [(x is not None, x) for x in r])
+    return list(dict.fromkeys(found[i * len(found) // n] for i in range(1, n) if found))
+
+
+def _literal(bound: tuple) -> Column:
+    return F.struct(*[F.lit(x).cast("long").alias(f"k{i}") for i, x in enumerate(bound)])
 
 
-def range_bucket(key: Column, bounds: list) -> Column:
-    """0-based number of the range that holds ``key``: how many bounds are below it or equal; null keys go to range 0."""
+def with_range(df: DataFrame, keys: list[Column], bounds: list[tuple], out: str) -> DataFrame:
+    """Add ``out``: the 0-based number of the range that holds the ``keys`` (longs), that is how many bounds are not above them; null is least."""
+    key = F.struct(*[k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)])
+    step = -(-(len(bounds) + 1) // MAX_RANGES)
+    coarse = bounds[step - 1 :: step]
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(key >= _literal(coarse[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(bounds)).cast("int")
+    if step == 1:
+        return df.withColumn(out, tree(0, len(coarse)).cast("int"))
+    # The bounds between two coarse ones are looked up: a table of as many rows as there are coarse ranges.
+    parts = [(i, [dict(zip([f"k{j}" for j in range(len(keys))], b, strict=True)) for b in bounds[i * step : (i + 1) * step - 1]]) for i in range(len(coarse) + 1)]
+    kind = ",".join(f"k{i}:bigint" for i in range(len(keys)))
+    fine = df.sparkSession.createDataFrame(parts, f"__coarse int, __fine array<struct<{kind}>>")
+    found = df.withColumn("__coarse", tree(0, len(coarse)).cast("int")).join(F.broadcast(fine), "__coarse")
+    return found.withColumn(out, (F.col("__coarse") * step + F.size(F.filter("__fine", lambda b: b <= key))).cast("int")).drop("__coarse", "__fine")
 
 
 def prefix_sums(df: DataFrame, bucket: str, order: list, value: Column, group: list[str] | None = None, out: str = "before") -> DataFrame:
