@@ -24,6 +24,8 @@ from lectern.operators.ordered import range_bounds, with_range
 from lectern.plans.shared import ranges_for
 
 K, S, KEEP = 16, 4, 40
+#: Text of one range, which a task sorts.
+RANGE_BYTES = 256 << 20
 _HASH_BITS = 48
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -124,7 +126,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_tie"))
     keys = [F.col("doc_id"), F.col("_tie")]
-    bounds = range_bounds(rows, keys, ranges_for(rows))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bounds = range_bounds(rows, keys, ranges_for(rows.sparkSession, size, RANGE_BYTES), count)
     rows = with_range(rows, keys, bounds, "_range")
     # One row per range, of which there are 1 << 17 at most.
     firsts = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_known"), *keys)).alias("_f")).select("_range", "_f.doc_id", "_f._tie").collect())

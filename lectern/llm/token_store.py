@@ -25,6 +25,8 @@ from lectern.plans.shared import ranges_for
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Stripes are the unit of parallel reads; row groups the unit of pruning within a stripe.
 STRIPE_BYTES = 64 << 20
+#: Text of one range, that is of one file.
+RANGE_BYTES = 256 << 20
 ROW_GROUP = 1000
 
 
@@ -55,7 +57,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("_tie", F.xxhash64("text"))
     keys = [F.col("doc_id"), F.col("_tie")]
-    bounds = range_bounds(rows, keys, ranges_for(rows))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bounds = range_bounds(rows, keys, ranges_for(rows.sparkSession, size, RANGE_BYTES), count)
     (
         with_range(rows, keys, bounds, "part")
         .select("doc_id", "part", "text", "_tie")
