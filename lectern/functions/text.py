@@ -122,6 +122,22 @@ def visible(path: Column | str) -> Column:
     return ~F.regexp_like(col(path), F.lit(r"(^|/)\."))
 
 
+def filename_parts(name: Column | str) -> Column:
+    """struct<stem, num, width, ext> of a name that ends with digits and .txt; null for any other.
+
+    Names of digits alone have an empty stem; in others it is what stands before the digits.
+    """
+    digits = F.regexp_extract(col(name), r"(\d+)\.txt$", 1)
+    stem = F.substring(col(name), F.lit(1), F.length(col(name)) - F.length(digits) - 4)
+    found = F.struct(stem.alias("stem"), digits.cast("long").alias("num"), F.length(digits).alias("width"), F.lit(".txt").alias("ext"))
+    return F.when(digits != "", found)
+
+
+def folded_path(path: Column | str) -> Column:
+    """The key that paths are sorted by: case-folded. Lower-casing after upper-casing folds what has several small forms."""
+    return F.lower(F.upper(col(path)))
+
+
 def header_line(chunk: Column | str) -> Column:
     return F.substring_index(col(chunk), "\n", 1)
 

@@ -1,7 +1,7 @@
 """Splitting by embeddings: windows, boundary strengths on a grid, cuts by dynamic programming, nudging.
 
-All of one document happens in one worker, in vectors: cosines come from one product of matrices, and the averages that all
-boundaries need from sums over blocks of it.
+All of one document happens in one worker, in vectors: the averages of cosines that all boundaries need come from running sums
+of the windows' vectors, so that memory grows with the document's length and not with its square.
 """
 
 from __future__ import annotations
@@ -45,26 +45,26 @@ def window_starts(length: int, size: int, stride: int) -> np.ndarray:
 
 
 class _Blocks:
-    """Sums of blocks of a symmetric matrix of cosines, many at once, from an integral image."""
+    """Sums of blocks of the matrix of cosines of unit vectors, many at once: products of running sums, the matrix is never made."""
 
     def __init__(self, vectors: np.ndarray):
-        self.gram = vectors @ vectors.T
-        self.image = np.zeros((len(vectors) + 1, len(vectors) + 1))
-        self.image[1:, 1:] = self.gram.cumsum(0).cumsum(1)
+        self.vectors = vectors
+        self.upto = np.concatenate((np.zeros((1, vectors.shape[1])), vectors.cumsum(0)))
+        self.own = np.concatenate(([0.0], np.cumsum((vectors * vectors).sum(1))))
+        self.steps = np.concatenate(([0.0], np.cumsum((vectors[:-1] * vectors[1:]).sum(1))))
 
     def sum(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Rows a to b, columns c to d."""
-        s = self.image
-        return s[b, d] - s[a, d] - s[b, c] + s[a, c]
+        return ((self.upto[b] - self.upto[a]) * (self.upto[d] - self.upto[c])).sum(1)
 
     def mean_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Mean cosine of the pairs within a to b; 1 if there is no pair."""
-        n, own = b - a, np.concatenate(([0.0], np.cumsum(np.diagonal(self.gram))))
-        return np.where(n < 2, 1.0, (self.sum(a, b, a, b) - own[b] + own[a]) / np.maximum(n * (n - 1), 1))
+        n = b - a
+        return np.where(n < 2, 1.0, (self.sum(a, b, a, b) - self.own[b] + self.own[a]) / np.maximum(n * (n - 1), 1))
 
     def mean_steps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Mean cosine of neighbours within a to b; 1 if there are none."""
-        steps = np.concatenate(([0.0], np.cumsum(np.diagonal(self.gram, 1))))
+        steps = self.steps
         n, a = b - a - 1, np.minimum(a, len(steps) - 1)
         return np.where(n < 1, 1.0, (steps[a + np.maximum(n, 0)] - steps[a]) / np.maximum(n, 1))
 
@@ -74,7 +74,7 @@ class _Blocks:
         for i in range(int(m.max(initial=0))):
             use = i < m
             left = at[use] - 1 - i if nearest else at[use] - m[use] + i
-            out[use] += self.gram[left, at[use] + i]
+            out[use] += (self.vectors[left] * self.vectors[at[use] + i]).sum(1)
         return out / np.maximum(m, 1)
 
 
@@ -132,10 +132,12 @@ def nudged(cuts: list[int], length: int, strength: dict[int, float], s: Settings
 def hashed_vectors(tokens: list[str], windows: np.ndarray, size: int = 64) -> np.ndarray:
     """The default embedding of windows of tokens: signed counts of hashed tokens, of unit length."""
     h = np.fromiter((zlib.crc32(t.encode()) for t in tokens), np.int64, len(tokens))
-    counts = np.zeros((len(tokens) + 1, size))
-    counts[np.arange(1, len(tokens) + 1), h % size] = np.where(h & 0x80000000, 1, -1)
-    counts = counts.cumsum(0)
-    out = counts[windows[:, 1]] - counts[windows[:, 0]]
+    # Windows begin and end at multiples of a unit of tokens, but for the end of the text, where the last unit is short.
+    unit = int(np.gcd.reduce([len(tokens) if len(windows) < 2 else int(windows[1, 0]), *np.unique(windows[:, 0]).tolist(), *np.unique(windows[windows[:, 1] < len(tokens), 1]).tolist()])) or 1
+    units = -(-len(tokens) // unit)
+    counts = np.bincount(np.arange(len(tokens)) // unit * size + h % size, np.where(h & 0x80000000, 1.0, -1.0), units * size).reshape(units, size)
+    counts = np.concatenate((np.zeros((1, size)), counts.cumsum(0)))
+    out = counts[-(-windows[:, 1] // unit)] - counts[windows[:, 0] // unit]
     norm = np.sqrt((out * out).sum(1))
     return np.where(norm[:, None] > 0, out / np.maximum(norm, 1e-9)[:, None], size**-0.5)
 

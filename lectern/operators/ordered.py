@@ -10,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.shared import ranges_for
+
 #: Leading hexadecimal digits of a hash that name its bucket: 4,096 buckets per group.
 HASH_DIGITS = 3
 #: A balanced tree of comparisons stays within one generated method up to about this many ranges; more take two levels.
 MAX_RANGES = 1024
+#: Rows of a range, which a task sorts, if shuffles have no more partitions than that takes.
+RANGE_ROWS = 1 << 22
 #: Keys that are sampled for each range.
 KEYS_PER_RANGE = 40
 
 
-def range_bounds(df: DataFrame, keys: list[Column], n: int, seed: int = 7) -> list[tuple]:
-    """At most ``n - 1`` increasing values of ``keys`` (numbers) that cut the rows into ranges of similar counts.
+def range_bounds(df: DataFrame, keys: list[Column], n: int, count: int | None = None, seed: int = 7) -> list[tuple]:
+    """At most ``n - 1`` increasing values of ``keys`` (numbers) that cut the ``count`` rows of ``df`` into ranges of similar counts.
 
     The bounds come from a sample of ``KEYS_PER_RANGE`` rows a range, which is all that the driver sees; every row has a range.
     """
     if n < 2:
         return []
-    share = KEYS_PER_RANGE * n / max(1, df.count())
+    share = KEYS_PER_RANGE * n / max(1, df.count() if count is None else count)
     named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     some = (df.filter(F.rand(seed) < share) if share < 1 else df).select(*named)
     found = sorted((tuple(r) for r in some.collect()), key=lambda r: [(x is not None, x) for x in r])
@@ -58,11 +62,20 @@ def with_range(df: DataFrame, keys: list[Column], bounds: list[tuple], out: str)
     return found.withColumn(out, (F.col("__coarse") * step + F.size(F.filter("__fine", lambda b: b <= key))).cast("int")).drop("__coarse", "__fine")
 
 
+def ranged(df: DataFrame, keys: list[str], out: str = "_range") -> DataFrame:
+    """Add ``out``, a bucket for ``prefix_sums``: the range of the integer ``keys`` that the row is in, whatever their values."""
+    columns = [F.col(k).cast("long") for k in keys]
+    narrow = df.select(*columns).toDF(*keys)
+    count = narrow.count()
+    return with_range(df, columns, range_bounds(narrow, columns, ranges_for(df.sparkSession, count, RANGE_ROWS), count), out)
+
+
 def prefix_sums(df: DataFrame, bucket: str, order: list, value: Column, group: list[str] | None = None, out: str = "before") -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows of the same group that come earlier.
 
-    ``bucket`` must be a column that never decreases along the order. Only the table of bucket sums (one row per group
-    and bucket) is ordered as a whole; the rows themselves are sorted within (group, bucket).
+    ``bucket`` must be a column that never decreases along the order, with few values for the rows that there are, as ``ranged``
+    gives. Only the table of bucket sums (one row per group and bucket) is ordered as a whole; the rows themselves are sorted
+    within (group, bucket).
     """
     group = group or []
     rows = df.withColumn("__v", value)

@@ -102,12 +102,28 @@ def remembered(judge: PairJudge, journal: DataFrame) -> PairJudge:
     return play
 
 
-def bracket(items: DataFrame, anchors: DataFrame, judge: PairJudge, confirm_mode: str = "reference") -> DataFrame:
+def confirmed(judge: PairJudge, journal: DataFrame, most: int = CONFIRMATIONS) -> PairJudge:
+    """A judge that takes the first ``most`` recorded confirmations of an item against an anchor, in their order, and asks for the rest.
+
+    journal: item, against, left, winner, ordinal. Games also have item, at and k, as ``bracket`` gives them.
+    """
+    nth = F.row_number().over(Window.partitionBy("item", "against").orderBy("ordinal")) - 1
+    known = journal.select("item", F.col("against").alias("anchor"), nth.alias("k"), (F.col("winner") == F.when(F.col("left") == F.col("item"), "left").otherwise("right")).alias("_won")).filter(F.col("k") < most)
+
+    def play(games: DataFrame) -> DataFrame:
+        old = games.join(known, ["item", "anchor", "k"]).withColumn("winner", F.when(F.col("_won") == (F.col("left") == F.col("item")), "left").otherwise("right"))
+        new = judge(games.join(known, ["item", "anchor", "k"], "left_anti"))
+        return new.unionByName(old.select(*[c for c in new.columns if c in old.columns]), allowMissingColumns=True)
+
+    return play
+
+
+def bracket(items: DataFrame, anchors: DataFrame, judge: PairJudge, confirm_mode: str = "reference", confirm: PairJudge | None = None) -> DataFrame:
     """item, tier, votes: a binary search of each item among the ranked anchors, all items in one wave per level.
 
     anchors: item, rank (1-based). Tier t stands below the first t anchors. Afterwards the two neighbours of the place found
     are played twice each; in mode ``reference`` an item is expected above the anchor before it and below the one after it,
-    so that consistent judges cost it a tier; mode ``corrected`` expects the opposite.
+    so that consistent judges cost it a tier; mode ``corrected`` expects the opposite. ``confirm`` judges these games, if given.
     """
     size = anchors.count()
     ranked = anchors.select(F.col("item").alias("anchor"), (F.col("rank") - 1).cast("int").alias("at"))
@@ -126,7 +142,7 @@ def bracket(items: DataFrame, anchors: DataFrame, judge: PairJudge, confirm_mode
     checks = state.withColumn("_s", F.explode(sides)).select("item", "lo", "votes", "played", "_s.*").filter((F.col("at") >= 0) & (F.col("at") < size)).join(ranked, "at")
     first = (F.col("played") + F.col("k") + F.when(F.col("at") == F.col("lo"), F.when(F.col("lo") > 0, CONFIRMATIONS).otherwise(0)).otherwise(0)) % 2 == 0
     game = checks.withColumn("_f", first).withColumn("left", F.when(F.col("_f"), F.col("item")).otherwise(F.col("anchor"))).withColumn("right", F.when(F.col("_f"), F.col("anchor")).otherwise(F.col("item")))
-    side = judge(game).withColumn("_up", F.when((F.col("winner") == "left") == F.col("_f"), 1).otherwise(-1)).groupBy("item", "at").agg(F.sum("_up").alias("s"), F.first("expect").alias("expect"))
+    side = (confirm or judge)(game).withColumn("_up", F.when((F.col("winner") == "left") == F.col("_f"), 1).otherwise(-1)).groupBy("item", "at").agg(F.sum("_up").alias("s"), F.first("expect").alias("expect"))
     votes = side.groupBy("item").agg(F.sum(F.when((F.col("s") > 0) == F.col("expect"), 1).otherwise(-1)).alias("confirm"))
     out = state.join(votes, "item", "left").withColumn("votes", F.col("votes") + F.coalesce("confirm", F.lit(0)))
     return out.select("item", F.when((F.col("votes") < 0) & (F.col("lo") > 0), F.col("lo") - 1).otherwise(F.col("lo")).cast("int").alias("tier"), F.col("votes").cast("long").alias("votes"))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import TOKEN
-from lectern.operators.ordered import prefix_sums
-from lectern.plans.shared import spread
+from lectern.operators.ordered import prefix_sums, ranged
+from lectern.plans.shared import materialize, spread
 
 #: Tokens of a chunk and of what a model is shown of a longer segment.
 MAX_TOKENS, WINDOW_TOKENS = 1024, 8192
@@ -95,8 +95,11 @@ def boundaries(cut: str = "cuts", length: str = "length") -> F.Column:
     return F.concat(F.array(F.lit(0)), inner, F.array(F.col(length)))
 
 
-def split_documents(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, local, n_local, lo, hi, tokens, body of every chunk of ``docs`` (doc_id, text)."""
+def split_documents(docs: DataFrame, most: int = MAX_TOKENS, propose: Proposer = delimiter_split) -> DataFrame:
+    """doc_id, local, n_local, lo, hi, tokens, body of every chunk of ``docs`` (doc_id, text).
+
+    ``propose`` says where a segment that is too long is cut, by delimiters or by a model (``lectern.chat.Splitter``).
+    """
 
     def run(batches):
         import pandas as pd
@@ -104,7 +107,7 @@ def split_documents(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
         for rows in batches:
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                at = cuts(text or "", most)
+                at = cuts(text or "", most, propose)
                 for i, (lo, hi) in enumerate(pairwise(at)):
                     out.append((doc_id, i + 1, len(at) - 1, lo, hi, count_tokens(text[lo:hi]), text[lo:hi]))
             yield pd.DataFrame(out, columns=["doc_id", "local", "n_local", "lo", "hi", "tokens", "body"])
@@ -114,8 +117,8 @@ def split_documents(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
 
 def numbered_chunks(chunks: DataFrame, source: str = "source") -> DataFrame:
     """Add ``chunk_id`` (1-based over doc_id and place), ``filename`` and ``header``."""
-    ranges = chunks.withColumn("_range", F.expr("floor(doc_id / 1024)"))
-    rows = prefix_sums(ranges, "_range", ["doc_id", "lo"], F.lit(1).cast("long"), None, "_n").withColumn("chunk_id", F.col("_n") + 1).drop("_n", "_range")
+    chunks = materialize(chunks, "split")  # the ranges are found first, and nothing is split twice
+    rows = prefix_sums(ranged(chunks, ["doc_id", "lo"]), "_range", ["doc_id", "lo"], F.lit(1).cast("long"), None, "_n").withColumn("chunk_id", F.col("_n") + 1).drop("_n", "_range")
     rows = rows.withColumn("filename", F.concat(F.lpad(F.col("chunk_id").cast("string"), 6, "0"), F.lit(".txt")))
     return rows.withColumn("header", F.format_string("[Chunk %d/%d | Source: %s | chars:%d-%d | tokens:%d]", "local", "n_local", F.col(source), "lo", "hi", "tokens"))
 

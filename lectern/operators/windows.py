@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import round_div
-from lectern.operators.ordered import prefix_sums
+from lectern.operators.ordered import prefix_sums, ranged
 from lectern.plans.shared import materialize
 
 #: Chunks in one range of a prefix sum or an as-of lookup.
@@ -19,12 +19,11 @@ RANGE = 4096
 
 def number_rows(df: DataFrame, key: str, out: str = "i", group: list[str] | None = None) -> DataFrame:
     """0-based place of each row in the order of an integer key, in two levels."""
-    ranges = df.withColumn("_range", F.expr(f"floor({key} / {RANGE})"))
-    return prefix_sums(ranges, "_range", [key], F.lit(1).cast("long"), group, out).drop("_range")
+    return prefix_sums(ranged(df, [key]), "_range", [key], F.lit(1).cast("long"), group, out).drop("_range")
 
 
 def with_prefix_sums(chunks: DataFrame) -> DataFrame:
-    """``lo``, ``hi``: tokens before the chunk and up to its end."""
+    """``lo``, ``hi``: tokens before the chunk and up to its end. Places have no gaps, so stretches of them are buckets."""
     ranges = chunks.withColumn("_range", F.expr(f"i div {RANGE}"))
     return prefix_sums(ranges, "_range", ["i"], F.col("tokens"), ["corpus"], "lo").withColumn("hi", F.col("lo") + F.col("tokens")).drop("_range")
 
@@ -45,7 +44,14 @@ def as_of(points: DataFrame, x: str, bounds: DataFrame, at: str, value: str, out
     found = both.withColumn("_in", F.max("_v").over(inside)).filter("_ask = 1")
     ends = cells.groupBy("_g", "_cell").agg(F.max("_v").alias("_end"))
     every = ends.unionByName(asked.select("_g", "_cell").distinct().withColumn("_end", F.lit(None).cast("long"))).groupBy("_g", "_cell").agg(F.max("_end").alias("_end"))
-    before = every.withColumn("_before", F.max("_end").over(Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)))
+    # Cells may be as many as the rows where values are far apart, so they too are taken in ranges, and these in order.
+    every = materialize(every, "cells")
+    every = ranged(every, ["_cell"], "_part")
+    parts = every.groupBy("_g", "_part").agg(F.max("_end").alias("_most"))
+    parts = parts.select(F.col("_g").alias("_pg"), F.col("_part").alias("_pp"), F.max("_most").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    every = every.join(parts, every["_g"].eqNullSafe(F.col("_pg")) & (F.col("_part") == F.col("_pp")))
+    near = F.max("_end").over(Window.partitionBy("_g", "_part").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    before = every.select("_g", "_cell", F.coalesce(near, "_earlier").alias("_before"))
     on = found["_g"].eqNullSafe(before["_g"]) & (found["_cell"] == before["_cell"])
     return found.join(before.select("_g", "_cell", "_before"), on).select("_row.*", F.coalesce("_in", "_before").alias(out))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.operators import present
+from lectern.operators.ordered import prefix_sums, ranged
 from lectern.operators.windows import islands, number_rows
 from lectern.plans.catalog import query, table
 
@@ -46,10 +47,11 @@ def group_context(spark, sf_dir):
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
 SELECT doc_id, lpad(doc_id::VARCHAR, 6, '0') || '.txt' AS filename, rank FROM r JOIN labels USING (doc_id)""")
 def filename_rank(spark, sf_dir):
-    order = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).select(F.col("doc_id").alias("num"), F.col("rank").cast("long").alias("rank"))
+    docs = table(spark, sf_dir, "documents").select("source", (-F.col("n_chars")).alias("_least"), "doc_id")
+    order = prefix_sums(ranged(docs, ["_least", "doc_id"]), "_range", ["_least", "doc_id"], F.lit(1).cast("long"), ["source"], "_before")
+    order = order.select(F.col("doc_id").alias("num"), (F.col("_before") + 1).alias("rank"))
     names = table(spark, sf_dir, "labels").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".txt")).alias("filename"))
-    num = F.regexp_extract("filename", r"^(\d+)\.txt$", 1).cast("long")
-    return names.withColumn("num", num).join(order, "num").select(F.col("num").alias("doc_id"), "filename", "rank")
+    return names.withColumn("num", text.filename_parts("filename")["num"]).join(order, "num").select(F.col("num").alias("doc_id"), "filename", "rank")
 
 
 _PARTS = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
@@ -63,10 +65,10 @@ def split_evenly(spark, sf_dir):
     return turns.select("conv_id", "turn", present.even_parts(F.col("n"), F.col("place")).alias("part"))
 
 
-@query("""WITH f AS (SELECT conv_id, left(text, 3) AS e, min(turn) AS t FROM conversations GROUP BY conv_id, left(text, 3))
+@query("""WITH f AS (SELECT conv_id, text AS e, min(turn) AS t FROM conversations GROUP BY conv_id, text)
 SELECT conv_id::VARCHAR AS filename, string_agg(e, ' | ' ORDER BY t) AS evidence FROM f GROUP BY conv_id""")
 def evidence_map(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("filename"), F.col("turn").alias("ordinal"), F.left("text", F.lit(3)).alias("evidence"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("filename"), F.col("turn").alias("ordinal"), F.col("text").alias("evidence"))
     return present.evidence(rows)
 
 

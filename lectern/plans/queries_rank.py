@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from lectern.operators import rank
 from lectern.operators.windows import number_rows
 from lectern.plans.catalog import query, table
+from lectern.plans.rank import all_pairs
 from lectern.plans.shared import materialize
 
 N = rank.SKELETON
 
 
 def _items(spark, sf_dir):
-    return number_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").alias("score")), "item", "place")
+    # Written once: every wave of games reads the scores again.
+    return materialize(number_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").alias("score")), "item", "place"), "items")
 
 
 def _judge(items):
@@ -112,8 +114,7 @@ SELECT item, row_number() OVER (ORDER BY b, r, t, a, item) AS rank FROM rest""")
 def final_order(spark, sf_dir):
     items, anchors, tiers = _tiers(spark, sf_dir)
     taken = rank.top_block(tiers).filter("taken").select("tier")
-    top = tiers.join(taken, "tier", "left_semi").join(items.select("item", "place"), "item").select("item", "place")
-    pairs = top.select(F.col("item").alias("left"), F.lit(0).alias("_k")).join(top.select(F.col("item").alias("right"), F.lit(0).alias("_k")), "_k").filter("left < right")  # the cap bounds the block
-    block = rank.order_by_wins(_judge(items)(pairs), top).select("item", "rank")
+    top = materialize(number_rows(tiers.join(taken, "tier", "left_semi").select("item"), "item", "place"), "top")
+    block = rank.order_by_wins(_judge(items)(all_pairs(top, top.count()).select("left", "right")), top).select("item", "rank")
     named = tiers.withColumn("filename", F.concat(F.lpad(F.col("item").cast("string"), 12, "0"), F.lit(".txt")))
     return rank.final_order(named, anchors, block).select("item", F.col("rank").cast("long").alias("rank"))

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import numbers, text
 from lectern.operators import layout, splitter
-from lectern.operators.ordered import prefix_sums
-from lectern.operators.windows import number_rows
+from lectern.operators.ordered import prefix_sums, ranged
 from lectern.plans.catalog import TOKENS, query, table
-from lectern.plans.shared import spread
+from lectern.plans.shared import materialize, spread
 from lectern.sources import files
 
 
@@ -33,8 +32,10 @@ SELECT chunk_id, lpad(chunk_id::VARCHAR, 6, '0') || '.txt' AS filename,
   '[Chunk ' || local || '/' || n_local || ' | Source: ' || source || ' | chars:' || lo || '-' || (lo + n) || ' | tokens:' || tokens || ']' AS header FROM c""")
 def src_chunks(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "source", F.length("text").cast("long").alias("n"), text.token_count("text").alias("tokens"))
-    docs = number_rows(number_rows(docs, "doc_id", "chunk_id"), "doc_id", "local", ["source"]).withColumn("_range", F.expr("doc_id div 4096"))
-    docs = prefix_sums(docs, "_range", ["doc_id"], F.col("n"), ["source"], "lo")
+    docs = materialize(ranged(docs, ["doc_id"]), "ranges")
+    one = F.lit(1).cast("long")
+    for value, group, out in ((one, None, "chunk_id"), (one, ["source"], "local"), (F.col("n"), ["source"], "lo")):
+        docs = prefix_sums(docs, "_range", ["doc_id"], value, group, out)
     docs = docs.join(docs.groupBy("source").agg(F.count("*").alias("n_local")), "source")
     header = F.format_string("[Chunk %d/%d | Source: %s | chars:%d-%d | tokens:%d]", F.col("local") + 1, "n_local", "source", "lo", F.col("lo") + F.col("n"), "tokens")
     return docs.select((F.col("chunk_id") + 1).alias("chunk_id"), F.concat(F.lpad((F.col("chunk_id") + 1).cast("string"), 6, "0"), F.lit(".txt")).alias("filename"), header.alias("header"))
@@ -251,7 +252,7 @@ def stem_collisions(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages ORDER BY lower(url), url")
 def path_sort(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy(F.lower("url"), "url")
+    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy(text.folded_path("url"), "url")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events""")
@@ -279,9 +280,9 @@ def parts_needed(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.token_count("text").alias("t")).select("doc_id", numbers.parts_needed("t", 600, 500).alias("parts"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha, base64(encode(left(text, 20))) AS head FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha, base64(encode(text)) AS head FROM documents")
 def sha_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha"), F.base64(F.left("text", F.lit(20)).cast("binary")).alias("head"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\\r\\n]", "").alias("head"))
 
 
 @query(r"""

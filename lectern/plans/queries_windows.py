@@ -114,8 +114,8 @@ JOIN (SELECT start, stop, (sum(length(text)) + 5 * (count(*) - 1))::BIGINT AS co
 WHERE j.is_relevant""")
 def search_pass(spark, sf_dir):
     """The flagship: every document is a chunk; windows, contexts, judgement, positives."""
-    found = search.search(table(spark, sf_dir, "documents"), INTENT, BUDGET, least=20)
-    return found.filter("is_relevant").select("i", "doc_id", "start", "stop", F.length("context").cast("long").alias("context_chars"), "summary", "evidence")
+    found = search.search(table(spark, sf_dir, "documents"), INTENT, BUDGET, least=20, positives=True)
+    return found.select("i", "doc_id", "start", "stop", F.length("context").cast("long").alias("context_chars"), "summary", "evidence")
 
 
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS}::BIGINT AS n FROM documents)

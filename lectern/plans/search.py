@@ -21,22 +21,28 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return windows.number_rows(chunks, "doc_id")
 
 
-def search(docs: DataFrame, query: str, budget: int, least: int = 1, judge: Judge | None = None) -> DataFrame:
-    """corpus, i, doc_id, start, stop, context, is_relevant, summary, evidence of every chunk.
+def search(docs: DataFrame, query: str, budget: int, least: int = 1, judge: Judge | None = None, positives: bool = False) -> DataFrame:
+    """corpus, i, doc_id, start, stop, context, is_relevant, summary, evidence of every chunk, or of the ``positives`` alone.
 
+    The lexical judge reads the chunk only, so that contexts are built after it has judged, and only for the rows returned.
     Windows are found over the whole corpus and each different context is built once. With a judge of one's own the chunks are
     dealt by their window, so that prompts with the same beginning follow each other, and the judgements are written before
     they are used: no chunk is judged twice.
     """
     chunks = materialize(chunks_of(docs), "chunks")
     found = materialize(windows.stable_windows(chunks, budget), "windows")
+    if judge is None:
+        asked = chunks.select("*", lexical_judgement(F.col("text"), query, least).alias("_j")).select(*chunks.columns, "_j.*")
+        asked = asked.filter("is_relevant") if positives else asked
+        wanted = materialize(asked.join(found, ["corpus", "i"]), "judged")
+        out = wanted.join(windows.context_texts(wanted, chunks), ["corpus", "start", "stop"])
+        return out.select("corpus", "start", "stop", "i", "doc_id", "text", "tokens", "context", "is_relevant", "summary", "evidence")
     contexts = windows.context_texts(found, chunks)
     rows = chunks.join(found, ["corpus", "i"]).join(contexts, ["corpus", "start", "stop"])
-    if judge is None:
-        return rows.select("*", lexical_judgement(F.col("text"), query, least).alias("_j")).select(*rows.columns, "_j.*")
     near = rows.repartitionByRange("corpus", "start").sortWithinPartitions("corpus", "start", "i")
     answers = materialize(judged(near, judge), "judgements")
-    return rows.join(answers, ["corpus", "i"])
+    rows = rows.join(answers, ["corpus", "i"])
+    return rows.filter("is_relevant") if positives else rows
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

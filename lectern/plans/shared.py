@@ -46,10 +46,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def ranges_for(df: DataFrame, size: int = 256 << 20) -> int:
-    """Tasks for a step that sorts or writes ``df``: those of a shuffle, or more if they would get over ``size`` bytes each by the planner's estimate."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(df.sparkSession), min(-(-estimate // size), 1 << 17))
+def ranges_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks for a step that sorts or writes ``amount`` rows or bytes: those of a shuffle, or more if a task would get over ``each``."""
+    return max(shuffle_partitions(spark), min(-(-amount // each), 1 << 17))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -70,8 +70,10 @@ def records(text: Column | str, separator: str = RS) -> Column:
 
 
 def journal(spark: SparkSession, path: str, strict: bool = False, separator: str = RS) -> DataFrame:
-    """ordinal, record (JSON object) of a journal; a run is one file that is appended to record by record."""
-    lines = spark.read.text(path, wholetext=True).select(F.inline(records("value", separator)))
+    """ordinal, record (JSON object) of a journal; a run is one file that is appended to record by record, and read in splits."""
+    # Splits of one file are read in their order, so the numbers grow along the file, with gaps.
+    lines = spark.read.text(path, lineSep=separator).withColumn("ordinal", F.monotonically_increasing_id())
+    lines = lines.select("ordinal", F.trim(F.regexp_replace("value", "^[\\r\\n]+", "")).alias("record")).filter("record <> ''")
     object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("record")).startswith("OBJECT"), F.lit(False))
     if strict and not lines.filter(~object_).isEmpty():
         raise LecternError("malformed record", path=path)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -11,13 +12,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern import models
+from lectern import chat, models
 from lectern.functions import text
 from lectern.models import LecternError
 from lectern.operators import embedding_splitter as es
-from lectern.operators import layout, present, rank, runs, splitter, windows
+from lectern.operators import layout, ordered, present, rank, runs, splitter, windows
 from lectern.operators.components import components
-from lectern.operators.ordered import prefix_sums, range_bounds, range_bucket
+from lectern.operators.ordered import prefix_sums, range_bounds, ranged, with_range
+from lectern.plans import asked
+from lectern.plans.rank import RankRecords, all_pairs, rank_items
 from lectern.sources import files
 from lectern.streaming import journal
 
@@ -47,8 +50,33 @@ def test_prefix_sums_and_ranges(spark):
     df = spark.createDataFrame(rows, "g int, k long, v long").withColumn("b", F.expr("k div 16"))
     got = {(r.g, r.k): r.before for r in prefix_sums(df, "b", ["k"], F.col("v"), ["g"]).collect()}
     assert got == {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
-    bounds = range_bounds(df, "k", 5)
-    assert [r.x for r in df.orderBy("k").select(range_bucket(F.col("k"), bounds).alias("x")).collect()] == [sum(b <= k for b in bounds) for _, k, _ in rows]
+    bounds = range_bounds(df, [F.col("k")], 5)
+    assert [r.x for r in with_range(df, [F.col("k")], bounds, "x").orderBy("k").select("x").collect()] == [sum(b[0] <= k for b in bounds) for _, k, _ in rows]
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_ranges_of_sparse_and_common_keys(spark, monkeypatch, most):
+    """Ids of 63 bits, one id in a third of the rows and none in another: no range gets much more than its part."""
+    monkeypatch.setattr(ordered, "MAX_RANGES", most)
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else rng.getrandbits(62), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, t long")
+    keys = [F.col("k"), F.xxhash64("t")]
+    bounds = range_bounds(df, keys, 12)
+    found = with_range(df, keys, bounds, "r").withColumn("h", F.xxhash64("t")).collect()
+    key = lambda k, h: (k is not None, k or 0, h)
+    assert all(r.r == sum(key(*b) <= key(r.k, r.h) for b in bounds) for r in found)
+    assert max(Counter(r.r for r in found).values()) <= 3 * 600 / 12
+
+
+def test_prefix_sums_over_sparse_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.getrandbits(62), rng.randint(0, 9)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    with_buckets = ranged(df, ["k"]).cache()
+    assert with_buckets.select("_range").distinct().count() <= 8
+    got = {r.k: r.before for r in prefix_sums(with_buckets, "_range", ["k"], F.col("v")).collect()}
+    assert got == {k: sum(w for j, w in rows if j < k) for k, _ in rows}
 
 
 def reference_window(tokens, i, budget):
@@ -216,6 +244,107 @@ def test_wrap(t, most):
     assert "".join(layout.wrap(t.replace("\n", ""), most, layout.fixed_width(10, 0.1))) == t.replace("\n", "")
 
 
+def test_chat_steps_over_tables(spark):
+    """Scripted chats, asked once for each row."""
+    items = spark.createDataFrame([(i, f"{i:06d}.txt", "s", "e", "x" * i) for i in range(1, 8)], "item long, filename string, summary string, evidence string, text string")
+    judge = asked.pair_judge(items, lambda a, b: ("left" if len(a["text"]) > len(b["text"]) else "right", "longer"))
+    assert [r.item for r in rank_items(items, judge).orderBy("rank").collect()] == list(range(7, 0, -1))
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "id int, text string")
+    assert {r.id: r.cleaned for r in asked.cleaned(rows, lambda t: f"<{t}>").collect()} == {1: "<a>", 2: "<None>", 3: "<>"}
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    cut = splitter.split_documents(docs, 6, chat.Splitter([lambda m: '{"begin_second_section": "six seven"}'])).orderBy("lo").collect()
+    assert [r.body for r in cut] == ["one two three four five ", "six seven eight nine ten"]
+
+
+def test_ranking_goes_on_from_its_journal(spark, tmp_path):
+    """A ranking with a journal of all its games judges none; one with another schedule is refused."""
+    items = spark.createDataFrame([(i, f"{i:06d}.txt") for i in range(9)], "item long, filename string")
+    played = []
+
+    def judge(games):
+        rows = games.withColumn("winner", F.when(F.col("left") < F.col("right"), "left").otherwise("right"))
+        played.append(rows.count())
+        return rows
+
+    placed = windows.number_rows(items, "item", "place")
+    games = all_pairs(placed, 9).withColumn("winner", F.when(F.col("left") < F.col("right"), "left").otherwise("right")).orderBy("pair_index").collect()
+    path = str(tmp_path / "rank.jsonl")
+    for r in games:
+        files.append_record(path, {"type": "cmp", "stage": "skeleton", **r.asDict()})
+    records = RankRecords.of(files.journal(spark, path))
+    assert [r.item for r in rank_items(items, judge, journal=records).orderBy("rank").collect()] == list(range(9)) and sum(played) == 0
+    odd = RankRecords(records.games, records.confirms, records.skeleton.withColumn("left", F.col("right")))
+    with pytest.raises(LecternError):
+        rank_items(items, judge, journal=odd)
+
+
+def test_confirmations_are_taken_in_order(spark):
+    journal = spark.createDataFrame([(1, 9, 1, "left", 0), (1, 9, 9, "left", 1), (1, 9, 1, "right", 2)], "item long, against long, left long, winner string, ordinal int")
+    games = spark.createDataFrame([(1, 9, 0, 1, 9), (1, 9, 1, 9, 1), (2, 9, 0, 2, 9)], "item long, anchor long, k int, left long, right long")
+    asks = []
+
+    def judge(g):
+        asks.extend(r.item for r in g.collect())
+        return g.withColumn("winner", F.lit("right"))
+
+    got = {(r.item, r.k): r.winner for r in rank.confirmed(judge, journal)(games).collect()}
+    assert got == {(1, 0): "left", (1, 1): "left", (2, 0): "right"} and asks == [2]
+
+
+def test_names_order_and_numbers(spark):
+    names = ["000012.txt", "ab-7.txt", "x.txt", "007"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.filename_parts("n").alias("p")).collect()
+    assert {r.n: r.p and tuple(r.p) for r in got} == {"000012.txt": ("", 12, 6, ".txt"), "ab-7.txt": ("ab-", 7, 1, ".txt"), "x.txt": None, "007": None}
+    paths = ["B", "a", "stra\u00dfe", "strasse", "\u03c3", "\u03c2"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").orderBy(text.folded_path("p"), "p").collect()
+    assert [r.p for r in got] == sorted(paths, key=lambda p: (p.casefold(), p))
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1)], "g int, num int")
+    present.strictly_increasing(rows.filter("g = 1"), ["g"], "num")
+    with pytest.raises(LecternError):
+        present.strictly_increasing(rows, ["g"], "num")
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_covers_in_blocks(spark, block):
+    rng = random.Random(9)
+    rows = [(b, i, rng.choice([0, 1, 2, 5, 19, 20, 21, 40])) for b in ("x", "y", None) for i in range(1, 60)]
+    want = {}
+    for b in ("x", "y", None):
+        total, cover = 0, 0
+        for _, i, n in [r for r in rows if r[0] == b]:
+            if cover == 0 or (total > 0 and total + n > 20):
+                total, cover = n, cover + 1
+            else:
+                total += n
+            want[b, i] = cover
+    got = present.plan_covers(spark.createDataFrame(rows, "book string, ordinal long, pages long"), block=block)
+    assert {(r.book, r.ordinal): r.cover for r in got.collect()} == want
+
+
+def test_scores_without_the_matrix():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(12, 5))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    gram, blocks = v @ v.T, es._Blocks(v)
+    a, b = np.array([0, 3, 5]), np.array([4, 4, 12])
+    assert np.allclose(blocks.sum(a, b, a, b), [gram[i:j, i:j].sum() for i, j in zip(a, b)])
+    assert np.allclose(blocks.mean_pairs(a, b), [1 if j - i < 2 else (gram[i:j, i:j].sum() - (j - i)) / ((j - i) * (j - i - 1)) for i, j in zip(a, b)])
+    tokens = [f"t{i % 17}" for i in range(1000)]
+    for size, stride in ((384, 128), (176, 64), (1000, 7)):
+        at = es.window_starts(len(tokens), size, stride)
+        want = [es.hashed_vectors(tokens[x:y], np.array([[0, y - x, 0]]))[0] for x, y, _ in at]
+        assert np.allclose(es.hashed_vectors(tokens, at), want)
+
+
+def test_a_very_long_text_is_split_in_bounded_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    n, _ = es._scored("word other " * 100_000, es.Settings())
+    assert n == 200_000 and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
 def test_even_parts(spark):
     rows = [(n, p) for n in range(1, 40) for p in range(n)]
     got = spark.createDataFrame(rows, "n long, p long").select("n", present.even_parts(F.col("n"), F.col("p")).alias("part")).toPandas()
@@ -326,6 +455,19 @@ def test_commands(spark, tmp_path, monkeypatch):
     assert sorted(ranked) == list(range(1, n + 1))
     hits = {i: sum(w == "stone" for w in (tmp_path / f"split/chunks/{i:06d}.txt").read_text().lower().split()) for i in ranked}
     assert ranked == sorted(ranked, key=lambda i: (-hits[i], i))
+    raw = str(tmp_path / "raw.txt")
+    bodies = [(tmp_path / f"split/chunks/{i:06d}.txt").read_text() for i in range(1, n + 1)]
+    run = "0002.jsonl" if (tmp_path / "runs/0002.jsonl").read_text().count("\x1e") > n else "0001.jsonl"
+    judged = {r["original_index"]: r for r in commands.read_records(tmp_path / "runs" / run) if r["type"] == "judgement"}
+    assert commands.raw(spark, f"{out}/chunks", runs_dir, raw) == n
+    assert open(raw).read() == "".join(f"{commands.json.dumps(judged[i], ensure_ascii=False)}\n{b}\n\n" for i, b in enumerate(bodies, 1))
+    books, marked = str(tmp_path / "pretty"), str(tmp_path / "yellow")
+    assert commands.pretty(spark, f"{out}/chunks", runs_dir, order, books) == 1  # all chunks are neighbours
+    file = (tmp_path / "pretty/000001.txt").read_text()
+    assert file.startswith("[ {") and file.count('"relevance_score"') == n and file.endswith("\n```\n")
+    assert commands.yellow(spark, books, "moon", marked) == 1
+    assert (tmp_path / "yellow/000001.txt").read_text().replace("<mark-yellow>", "").replace("</mark-yellow>", "") == file
+    assert commands.pretty(spark, f"{out}/chunks", runs_dir, order, books) == 1 and commands.yellow(spark, books, "moon", marked) == 1
 
 
 def test_rank_plan_beyond_the_skeleton(spark, monkeypatch):
