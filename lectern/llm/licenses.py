@@ -1,10 +1,12 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-A template is a notice, its label and the key phrase that it can't do without. The index holds, for the two words of each key
-phrase that fewest documents have, the templates and the places of the words in their notices. For each text the places of
-indexed words are looked up; every posting gives a template and the position at which its notice would start, and those that
-both words agree on are candidates. A candidate is verified by its key phrase, word for word, so that no mention is lost or
-made up; its score is the share of the notice that stands there.
+A template is a notice, its label and the key phrase that it can't do without. The index holds the words of all key phrases,
+how many documents have each, and where each stands in which notices. A text is looked up by the words of the index that it
+holds: templates of which it lacks a key word are out, and of the others the words of highest inverse document frequency are
+followed to their places. Every place gives, by the posting, the position at which the notice would start; starts on which the
+two rarest words of a template agree are candidates. A candidate is verified by its key phrase, word for word, so that no mention
+is lost or made up; its score is the share of the whole notice that stands there, so that a notice that was shortened or altered
+outside its key phrase scores less and is found all the same.
 
 Everything about one text happens in its row: no text is shuffled, and only the document frequencies of the few indexed
 words, a bounded table, are gathered beforehand from all documents. Null and empty texts have no words. Words are compared
@@ -39,20 +41,65 @@ class Template:
         return next(i for i in range(len(self.words)) if self.words[i : i + len(self.key.split())] == self.key.split())
 
 
+# Words of the notices of common licences, as they are published.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+    "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+    "shall be included in all copies or substantial portions of the software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+    "materials provided with the distribution"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an "
+    "as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and "
+    "limitations under the license"
+)
+_GPL = (
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+    "foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+)
+_MPL = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and "
+    "this permission notice appear in all copies"
+)
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either "
+    "in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+)
+_ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this "
+    "software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"
+)
+_BOOST = (
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+    "the software to use reproduce display distribute execute and transmit the software"
+)
 TEMPLATES = (
     Template("mit", "released under the mit license", "under the mit license", True),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2", True),
+    Template("apache-2", _APACHE, "apache license version 2", True),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", True),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Template("mit", _MIT, "free of charge to any person obtaining a copy of this software"),
     Template("gpl", "this work is licensed under the gnu general public license", "gnu general public license"),
+    Template("gpl", _GPL, "redistribute it and or modify it under the terms of the gnu general public license"),
     Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("bsd", _BSD, "redistribution and use in source and binary forms"),
     Template("bsd", "released under the bsd license", "bsd license"),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("mpl-2", _MPL, "mozilla public license"),
     Template("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("isc", _ISC, "permission to use copy modify and or distribute"),
+    Template("unlicense", _UNLICENSE, "free and unencumbered software"),
+    Template("unlicense", "released under the unlicense", "unlicense"),
+    Template("zlib", _ZLIB, "in no event will the authors be held liable"),
+    Template("bsl", _BOOST, "any person or organization obtaining a copy of the software"),
     Template("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
@@ -75,9 +122,13 @@ def document_frequencies(words: DataFrame, templates: tuple[Template, ...]) -> d
 
 
 def rarest(template: Template, frequency: dict[str, int]) -> list[list[tuple[str, int]]]:
-    """For each of the rarest words of the key phrase, the word and every place of it there, as places of the notice."""
+    """For each of the rarest words of the key phrase, the word and every place of it there, as places of the notice.
+
+    A key phrase of one word has only that to agree with.
+    """
     key = template.key.split()
-    chosen = sorted(dict.fromkeys(key), key=lambda w: (frequency[w], key.index(w)))[:ANCHORS]
+    chosen = sorted(dict.fromkeys(key), key=lambda w: (frequency[w], key.index(w)))
+    chosen = (chosen * ANCHORS)[:ANCHORS] if len(chosen) < ANCHORS else chosen[:ANCHORS]
     return [[(w, template.key_at + i) for i, x in enumerate(key) if x == w] for w in chosen]
 
 
@@ -99,9 +150,15 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     frequency = document_frequencies(rows, templates)
     chosen = [rarest(t, frequency) for t in templates]
     groups = [[(w, i, o) for i, c in enumerate(chosen) for w, o in c[k]] for k in range(ANCHORS)]
-    indexed = sorted({w for g in groups for w, _, _ in g})
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(indexed))
-    rows = rows.withColumn("_at", F.when(F.size("words") > 0, places))
+    # The index words of a text, the templates that have all their key words in it, and their rarest words, which are looked up.
+    indexed = sorted({w for t in templates for w in t.key.split()})
+    keys = F.array(*[F.array(*map(F.lit, t.key.split())) for t in templates])
+    rare = F.array(*[F.array(*[F.lit(c[k][0][0]) for k in range(ANCHORS)]) for c in chosen])
+    rows = rows.withColumn("_have", F.array_intersect("words", F.array(*map(F.lit, indexed))))
+    live = F.filter(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda t: F.forall(F.get(keys, t), lambda w: F.array_contains("_have", w)))
+    rows = rows.withColumn("_look", F.when(F.size("_have") > 0, F.array_distinct(F.flatten(F.transform(live, lambda t: F.get(rare, t))))))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("_look", F.get("words", i)))
+    rows = rows.withColumn("_at", F.when(F.size("_look") > 0, places))
 
     def candidates(entries: list[tuple[str, int, int]]) -> Column:
         own = sorted({w for w, _, _ in entries})
@@ -110,8 +167,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 
     # Where no indexed word stands, nothing else is computed.
     both = F.array_intersect(candidates(groups[0]), candidates(groups[1]))
-    rows = rows.withColumn("_both", F.when(F.size("_at") > 1, both))
-    keys = F.array(*[F.array(*map(F.lit, t.key.split())) for t in templates])
+    rows = rows.withColumn("_both", F.when(F.size("_at") > 0, both))
     key_at = F.array(*[F.lit(t.key_at) for t in templates])
     notices = F.array(*[F.array(*map(F.lit, t.words)) for t in templates])
     labels = F.array(*[F.lit(t.label) for t in templates])
@@ -129,8 +185,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         there = F.filter(F.sequence(F.lit(0), F.size(notice) - 1), lambda j: F.coalesce(F.get("words", x["start"] + j) == F.get(notice, j), F.lit(False)))
         return F.size(there).cast("double") / F.size(notice).cast("double")
 
-    n_base = sum(t.base for t in templates)
-    base = F.filter("_found", lambda x: x["t"] < n_base)
+    base = F.filter("_found", lambda x: x["t"].isin([i for i, t in enumerate(templates) if t.base]))
     named = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.get(labels, x["t"])))), ",")
     rows = rows.withColumn("_base", F.transform(base, start))
     return rows.select(
