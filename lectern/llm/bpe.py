@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lectern.llm.words import slices
 from lectern.plans.shared import spread
 
-#: Bytes of one generation of a worker's memory, which holds two, and of the longest piece that is remembered: bounds of memory, not of results.
-MEMO_BYTES, PIECE_BYTES = 24 << 20, 64
+#: Pieces and bytes of one generation of a worker's memory, which holds two, and bytes of the longest piece that is remembered: bounds of memory, not of results.
+MAX_PIECES, MEMO_BYTES, PIECE_BYTES = 250_000, 24 << 20, 64
 #: What a piece and its ids take besides their own bytes.
 _ENTRY = 200
 
@@ -54,7 +54,7 @@ class _Memo(dict):
         if ids is None:
             ids = array("I", self.encode(piece)).tobytes()
         self.size += len(piece) + len(ids) + _ENTRY
-        if self.size > MEMO_BYTES:
+        if self.size > MEMO_BYTES or len(self) >= MAX_PIECES:
             self.old, self.size = dict(self), 0
             self.clear()
         self[piece] = ids

@@ -7,7 +7,7 @@ their common anchors whose positions agree up to one shift, among the anchors of
 
 Null and empty texts have an empty fingerprint, which is like itself (1) and unlike any other (0). Texts shorter than a k-mer
 have one anchor, the whole text. Equal texts have equal fingerprints. The next document is the next row in the order of
-doc_id (null first), ties by a hash of the text and then by text; after the last comes the first, and a single document is its own next. Extra columns are
+doc_id (null first), ties by text; after the last comes the first, and a single document is its own next. Extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.words import mix, slices, sliding_min
-from lectern.operators.ordered import range_bounds, with_range
+from lectern.operators.ordered import byte_keys, range_bounds, with_range
 from lectern.plans.shared import ranges_for
 
 K, S, KEEP = 16, 4, 40
@@ -124,22 +124,24 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     The text is shuffled once, by ranges of doc_id; the first row of each range is copied to the range before it.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_tie"))
-    keys = [F.col("doc_id"), F.col("_tie")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[k.alias(f"_k{i}") for i, k in enumerate(byte_keys(text))])
+    keys = [F.col("doc_id"), F.col("_k0"), F.col("_k1")]
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bounds = range_bounds(rows, keys, ranges_for(rows.sparkSession, size, RANGE_BYTES), count)
     rows = with_range(rows, keys, bounds, "_range")
     # One row per range, of which there are 1 << 17 at most.
-    firsts = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_known"), *keys)).alias("_f")).select("_range", "_f.doc_id", "_f._tie").collect())
+    firsts = rows.groupBy("_range").agg(F.min(F.struct(*keys)).alias("_f")).select("_range", "_f.*").collect()
+    firsts = sorted((tuple(r) for r in firsts), key=lambda r: r[0])
     if not firsts:
         return rows.sparkSession.createDataFrame([], _OUT)
     before = [(firsts[i - 1][0], *f[1:]) for i, f in enumerate(firsts)]
-    before = F.broadcast(rows.sparkSession.createDataFrame(before, "_to int, _id long, _t long"))
-    copies = rows.join(before, (F.col("_tie") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "_tie", F.col("_to").alias("_range"))
-    both = rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
+    before = F.broadcast(rows.sparkSession.createDataFrame(before, "_to int, _id long, _t0 long, _t1 long"))
+    on = (F.col("_k0") == F.col("_t0")) & (F.col("_k1") == F.col("_t1")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    copies = rows.join(before, on).select("doc_id", "text", F.col("_to").alias("_range"))
+    both = rows.select("doc_id", "text", "_range").withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
     return (
         both.repartitionById(len(bounds) + 1, F.col("_range"))
-        .sortWithinPartitions("_copy", F.asc_nulls_first("doc_id"), "_tie", "text")
+        .sortWithinPartitions("_copy", F.asc_nulls_first("doc_id"), "text")
         .select("doc_id", "text", "_copy")
         .mapInArrow(_fingerprints, _OUT)
     )

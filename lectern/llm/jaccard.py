@@ -6,10 +6,10 @@ compared by brute force on signatures. In a large bucket every set is compared w
 settled by that, and the others are split again on further coordinates, chosen from a hash of the path so far, two for each
 node.
 
-Runs come in rounds of as many as would lose a pair at the threshold with a probability below ``1 - EXPECTED`` if runs were
+Runs come in rounds of as many as would lose a pair at the threshold with a probability below ``1 - RECALL`` if runs were
 independent. As they are not quite, recall is measured after each round: the links of a bounded set of texts (``AUDIT``) are
 counted in all rows while these are sketched, and rounds on fresh coordinates are added until the share of them that the join
-found reaches ``RECALL``. If it still has not when the coordinates are used up, all pairs of sets are compared, block by block.
+found reaches ``AUDITED``. If it still has not when the coordinates are used up, all pairs of sets are compared, block by block.
 
 What brute force passes, far below the threshold, only links sets into candidate classes. Within each class all pairs are
 then compared exactly, on whole sets of shingles, in tiles of bounded size; a bucket that no path splits becomes a class as it
@@ -38,7 +38,8 @@ from lectern.plans.shared import materialize, shuffle_partitions, spread
 SHINGLE = 5
 #: Similarity as a fraction, so that pairs on the threshold are decided exactly.
 NUMERATOR, DENOMINATOR = 4, 5
-EXPECTED, RECALL = 0.999999, 0.99
+#: Recall expected of a round, and measured recall from which on no more are added.
+RECALL, AUDITED = 0.999999, 0.99
 #: Most texts whose links are counted, and the longest of them in characters; longer ones are joined like others.
 AUDIT, AUDIT_CHARS = 1_000, 100_000
 COORDINATES = 64
@@ -62,7 +63,7 @@ def runs_for(recall: float, similarity: float = NUMERATOR / DENOMINATOR, depth:
     return math.ceil(math.log(1 - recall) / math.log(1 - kept))
 
 
-RUNS = runs_for(EXPECTED)
+RUNS = runs_for(RECALL)
 ROUNDS = COORDINATES // RUNS
 
 
@@ -402,7 +403,7 @@ def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame, float]
         found = found.select("s0", "s1", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         found = materialize(found, "linked-sets")
         recall = _recall(audit, sketches, found)
-        if recall >= RECALL:
+        if recall >= AUDITED:
             break
     return sketches, found, recall
 

@@ -6,7 +6,7 @@ Each row keeps its part and the ids of its part before it; the offset of a part
 stripe can be read by itself and still know its place in the whole stream.
 
 Null and empty texts are stored as the end id alone. Rows without a doc_id come first. Repeated ids are stored as often as
-they occur, ordered by a hash of the text, so that a very common id (or none) is split between ranges too. An empty table gives an empty store. Extra columns are not stored.
+they occur, ordered by text; ranges follow its beginning too, so that a very common id (or none) is split between them. An empty table gives an empty store. Extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import default_tokenizer, piece_encoder
 from lectern.llm.words import slices
-from lectern.operators.ordered import range_bounds, with_range
+from lectern.operators.ordered import byte_keys, range_bounds, with_range
 from lectern.plans.shared import ranges_for
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -55,16 +55,14 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, stripe_bytes: int = STRIPE_BYTES, row_group: int = ROW_GROUP) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) and write the store at ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("_tie", F.xxhash64("text"))
-    keys = [F.col("doc_id"), F.col("_tie")]
+    keys = [F.col("doc_id"), *byte_keys(F.col("text"))]
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bounds = range_bounds(rows, keys, ranges_for(rows.sparkSession, size, RANGE_BYTES), count)
     (
         with_range(rows, keys, bounds, "part")
-        .select("doc_id", "part", "text", "_tie")
-        .repartitionById(len(bounds) + 1, F.col("part"))
-        .sortWithinPartitions("part", "doc_id", "_tie", "text")
         .select("doc_id", "part", "text")
+        .repartitionById(len(bounds) + 1, F.col("part"))
+        .sortWithinPartitions("part", "doc_id", "text")
         .mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), STORED)
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", stripe_bytes)
