@@ -36,6 +36,12 @@ def range_bounds(df: DataFrame, keys: list[Column], n: int, count: int | None =
     return list(dict.fromkeys(found[i * len(found) // n] for i in range(1, n) if found))
 
 
+def byte_keys(data: Column) -> list[Column]:
+    """Two numbers in the order of the first fourteen bytes of binary ``data``."""
+    part = lambda at: F.conv(F.rpad(F.hex(F.substring(data, at, 7)), 14, "0"), 16, 10).cast("long")
+    return [part(1), part(8)]
+
+
 def _literal(bound: tuple) -> Column:
     return F.struct(*[F.lit(x).cast("long").alias(f"k{i}") for i, x in enumerate(bound)])
 
