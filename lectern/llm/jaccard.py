@@ -408,8 +408,8 @@ def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame, float]
     return sketches, found, recall
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, audited_recall of every row of ``docs`` (doc_id, text).
+def join(docs: DataFrame, audited: bool = False) -> DataFrame:
+    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text), and the recall measured if ``audited``.
 
     ``n_links`` counts the other rows at a similarity of four fifths or more; ``class_id`` is the least doc_id that links lead to.
     """
@@ -417,7 +417,7 @@ def join(docs: DataFrame) -> DataFrame:
     # Both sides are shuffled by the planner, so that a set that very many rows share can be split between tasks.
     out = rows.select("doc_id", "s0", "s1", "n").join(sets.hint("merge"), ["s0", "s1"], "left")
     no_id = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(no_id(F.col("doc_id")).alias("doc_id"), no_id(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lit(recall).alias("audited_recall"))
+    return out.select(no_id(F.col("doc_id")).alias("doc_id"), no_id(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *([F.lit(recall).alias("audited_recall")] if audited else []))
 
 
 def join_sql(size: int = SHINGLE, threshold: str = f"{DENOMINATOR} * held >= {NUMERATOR} * (a.n + b.n - held)") -> str:

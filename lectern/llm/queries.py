@@ -31,7 +31,7 @@ def op4_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_docs(spark, sf_dir))
+    return jaccard.join(_docs(spark, sf_dir), audited=True)
 
 
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

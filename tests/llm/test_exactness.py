@@ -112,7 +112,7 @@ def test_rounds_are_added_until_recall_holds(spark, corpus, monkeypatch):  # noq
 
     monkeypatch.setattr(jaccard, "_candidates", candidates)
     docs = spark.createDataFrame(corpus, "doc_id long, text string")
-    rows = jaccard.join(docs).collect()
+    rows = jaccard.join(docs, audited=True).collect()
     assert turns == [0, 1, 2] and {r.doc_id: (r.class_id, r.n_links) for r in rows} == joined(corpus) and {r.audited_recall for r in rows} == {1.0}
 
 
