@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.plans.shared import ranges_for
+from lectern.plans.shared import ranges_for, shuffle_partitions
 
 #: Leading hexadecimal digits of a hash that name its bucket: 4,096 buckets per group.
 HASH_DIGITS = 3
@@ -29,11 +29,31 @@ def range_bounds(df: DataFrame, keys: list[Column], n: int, count: int | None =
     """
     if n < 2:
         return []
-    share = KEYS_PER_RANGE * n / max(1, df.count() if count is None else count)
-    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    some = (df.filter(F.rand(seed) < share) if share < 1 else df).select(*named)
-    found = sorted((tuple(r) for r in some.collect()), key=lambda r: [(x is not None, x) for x in r])
-    return list(dict.fromkeys(found[i * len(found) // n] for i in range(1, n) if found))
+    return _cut(_sampled(df, keys, n, df.count() if count is None else count, seed), n)
+
+
+def bounds_by_size(df: DataFrame, keys: list[Column], size: Column, each: int, seed: int = 7) -> list[tuple]:
+    """As ``range_bounds``, with as many ranges as shuffles have partitions, or more if one would hold over ``each`` of the sum of ``size``.
+
+    The sum is estimated from the sample, so that no pass is made for it.
+    """
+    n, count = shuffle_partitions(df.sparkSession), df.count()
+    found = _sampled(df, [*keys, size], n, count, seed)
+    whole = sum(r[-1] for r in found) * count // max(1, len(found))
+    if (wanted := ranges_for(df.sparkSession, whole, each)) > n:
+        n, found = wanted, _sampled(df, [*keys, size], wanted, count, seed)
+    return _cut([r[:-1] for r in found], n)
+
+
+def _sampled(df: DataFrame, columns: list[Column], n: int, count: int, seed: int) -> list[tuple]:
+    share = KEYS_PER_RANGE * n / max(1, count)
+    some = df.filter(F.rand(seed) < share) if share < 1 else df
+    return [tuple(r) for r in some.select(*[c.alias(f"k{i}") for i, c in enumerate(columns)]).collect()]
+
+
+def _cut(keys: list[tuple], n: int) -> list[tuple]:
+    keys = sorted(keys, key=lambda r: [(x is not None, x) for x in r])
+    return list(dict.fromkeys(keys[i * len(keys) // n] for i in range(1, n) if keys))
 
 
 def byte_keys(data: Column) -> list[Column]:
