@@ -25,7 +25,7 @@ from lectern.llm.words import slices
 from lectern.plans.shared import spread
 
 #: Pieces and bytes of one generation of a worker's memory, which holds two, and bytes of the longest piece that is remembered: bounds of memory, not of results.
-MAX_PIECES, MEMO_BYTES, PIECE_BYTES = 250_000, 24 << 20, 64
+MAX_PIECES, MEMO_BYTES, PIECE_BYTES = 250_000, 56 << 20, 64
 #: What a piece and its ids take besides their own bytes.
 _ENTRY = 200
 

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.words import mix, slices, sliding_min
-from lectern.operators.ordered import byte_keys, range_bounds, with_range
-from lectern.plans.shared import ranges_for
+from lectern.operators.ordered import bounds_by_size, byte_keys, with_range
 
 K, S, KEEP = 16, 4, 40
 #: Text of one range, which a task sorts.
@@ -126,8 +125,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[k.alias(f"_k{i}") for i, k in enumerate(byte_keys(text))])
     keys = [F.col("doc_id"), F.col("_k0"), F.col("_k1")]
-    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bounds = range_bounds(rows, keys, ranges_for(rows.sparkSession, size, RANGE_BYTES), count)
+    bounds = bounds_by_size(rows, keys, F.octet_length("text"), RANGE_BYTES)
     rows = with_range(rows, keys, bounds, "_range")
     # One row per range, of which there are 1 << 17 at most.
     firsts = rows.groupBy("_range").agg(F.min(F.struct(*keys)).alias("_f")).select("_range", "_f.*").collect()

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import default_tokenizer, piece_encoder
 from lectern.llm.words import slices
-from lectern.operators.ordered import byte_keys, range_bounds, with_range
-from lectern.plans.shared import ranges_for
+from lectern.operators.ordered import bounds_by_size, byte_keys, with_range
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Stripes are the unit of parallel reads; row groups the unit of pruning within a stripe.
@@ -55,9 +54,9 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, stripe_bytes: int = STRIPE_BYTES, row_group: int = ROW_GROUP) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) and write the store at ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    keys = [F.col("doc_id"), *byte_keys(F.col("text"))]
-    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bounds = range_bounds(rows, keys, ranges_for(rows.sparkSession, size, RANGE_BYTES), count)
+    rows = rows.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(byte_keys(F.col("text")))])
+    keys = [F.col("doc_id"), F.col("_k0"), F.col("_k1")]
+    bounds = bounds_by_size(rows, keys, F.octet_length("text"), RANGE_BYTES)
     (
         with_range(rows, keys, bounds, "part")
         .select("doc_id", "part", "text")
