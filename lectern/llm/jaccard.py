@@ -231,30 +231,34 @@ def _candidates(sets: DataFrame, turn: int) -> DataFrame:
     """
     n = shuffle_partitions(sets.sparkSession)
     level = sets.mapInArrow(_starts(turn), "rep long, path long")
-    edges: DataFrame | None = None
+    edges, smalls = None, None
     for depth in range(DEPTH + 1):
         # Written, so that the join that follows shuffles both sides and large buckets can be split between tasks. Buckets are
         # numbered by falling size within each part, and dealt in turn, so that no task gets several of the largest by chance.
         sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").sortWithinPartitions(F.desc("n"))
         sizes = materialize(sizes.withColumn("_to", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), "bucket-sizes")
-        shared = materialize(level.join(sizes.hint("merge"), "path"), "buckets")
-        small = shared.filter(F.col("n") <= SMALL).select("path", "rep", "_to").join(sets.hint("merge"), "rep")
-        small = small.repartitionById(n, F.col("_to")).sortWithinPartitions("path", "rep").select("path", "rep", "sig")
-        found = small.mapInArrow(_brute, "a long, b long")
+        # With the signatures, which brute force, splitting and pivots all need; a pivot is a member of its bucket.
+        shared = level.join(sizes.hint("merge"), "path").join(sets.hint("merge"), "rep")
+        shared = materialize(shared.select("path", "rep", "sig", "n", "pivot", "_to"), "buckets")
+        small = shared.filter(F.col("n") <= SMALL).select("path", "rep", "sig", "_to")
+        smalls = small if smalls is None else smalls.unionByName(small)
         large = shared.filter(F.col("n") > SMALL)
         if depth == DEPTH or large.isEmpty():
-            found = found.unionByName(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+            found = large.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
             edges = found if edges is None else edges.unionByName(found)
             break
-        pivot = large.select("pivot").distinct().join(sets.withColumnsRenamed({"rep": "pivot", "sig": "pivot_sig"}).hint("merge"), "pivot")
-        pivot = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = large.join(sets.hint("merge"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep", "path"), F.lit(SALTS)).cast("int"))
-        split = salted.join(pivot.hint("merge"), ["pivot", "salt"]).select("path", "rep", "sig", "pivot", "pivot_sig")
+        pivots = large.filter("rep = pivot").select("path", F.col("sig").alias("pivot_sig"))
+        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = large.withColumn("salt", F.pmod(F.xxhash64("rep", "path"), F.lit(SALTS)).cast("int"))
+        split = salted.join(pivots.hint("merge"), ["path", "salt"]).select("path", "rep", "sig", "pivot", "pivot_sig")
         split = materialize(split.mapInArrow(_split(depth), "rep long, pivot long, near boolean, paths array<long>"), "splits")
-        found = found.unionByName(split.filter("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        found = split.filter("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         edges = found if edges is None else edges.unionByName(found)
-        level = split.filter("rep <> pivot").select("rep", F.explode("paths").alias("path")).distinct()
-    return edges
+        # Both branches of a node may take the same coordinate.
+        level = split.filter("rep <> pivot").select("rep", F.explode(F.array_distinct("paths")).alias("path"))
+    # Paths of different levels differ, so that the small buckets of all of them are compared in one step.
+    smalls = smalls.repartitionById(n, F.col("_to")).sortWithinPartitions("path", "rep").select("path", "rep", "sig")
+    return edges.unionByName(smalls.mapInArrow(_brute, "a long, b long"))
 
 
 def _sets(batches):
