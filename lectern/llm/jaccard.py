@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.llm.samples import low
 from lectern.llm.words import Words, forest, mix, slices
 from lectern.operators.components import components
 from lectern.plans.shared import materialize, shuffle_partitions, spread
@@ -377,7 +378,9 @@ def linked(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame, float]
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
-    some = rows.select("text", F.xxhash64("doc_id", "text").alias("_h")).filter(F.length("text").between(1, AUDIT_CHARS)).orderBy("_h", "text").limit(AUDIT)
+    some = rows.select("text", F.xxhash64("doc_id", "text").alias("_h")).filter(F.length("text").between(1, AUDIT_CHARS))
+    distinct = some.agg(F.approx_count_distinct("_h").alias("n")).first()["n"]
+    some = some.filter(low(F.col("_h"), AUDIT, distinct)).groupBy("_h").agg(F.min("text").alias("text")).orderBy("_h").limit(AUDIT)
     audit = Audit([r["text"] for r in some.collect()])  # bounded in rows and in characters
     schema = StructType([*rows.schema, *StructType.fromDDL("s0 long, s1 long, n long, sig binary, audited array<int>")])
     # Numbered as they are written: the numbers are unique, and stay.
