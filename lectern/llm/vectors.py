@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.jaccard import NO_ID, _grouped
+from lectern.llm.samples import low
 from lectern.llm.words import forest, slices
 from lectern.operators.components import components
 from lectern.plans.shared import materialize, shuffle_partitions
@@ -330,7 +331,7 @@ def _links(vectors: DataFrame, overlap: int, threshold: float, kind: str, exact:
     known = {}
     length = F.octet_length("vec")
     for size, count in [] if exact else vectors.groupBy(length.alias("size")).count().orderBy(F.desc("count"), "size").limit(FITTED).collect():
-        sample = vectors.filter(length == size).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()  # bounded: SAMPLE rows
+        sample = vectors.filter(length == size).filter(low(F.xxhash64("rep"), SAMPLE, count)).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()  # bounded: SAMPLE rows
         known[size] = books(_unit([r["vec"] for r in sample], kind), count, overlap)
     dealt = vectors.mapInArrow(_assign(known, overlap, kind), "rep long, copies long, vec binary, shards array<long>")
     dealt = materialize(dealt.withColumn("shard", F.explode("shards")), "vector-shards")
@@ -376,7 +377,7 @@ def _scan(queries: list[bytes], ids: list[int], threshold: float, kind: str):
 
 def recall_of(vectors: DataFrame, counts: DataFrame, threshold: float, kind: str, queries: int = AUDIT) -> float:
     """Share of the links of some vectors, drawn whether links were found or not, that a scan of all vectors finds and ``counts`` has."""
-    some = vectors.orderBy(F.xxhash64("rep"), "rep").limit(queries)
+    some = vectors.filter(low(F.xxhash64("rep"), queries, vectors.count())).orderBy(F.xxhash64("rep"), "rep").limit(queries)
     asked = F.broadcast(some).join(counts, "rep", "left").select("rep", "copies", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()  # bounded: AUDIT rows
     if not asked:
         return 1.0
