@@ -238,13 +238,26 @@ def _explaining(docs: list[set[str]], rank: dict[str, float]) -> set[str]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Newton's method; the ridge spares the bias."""
-    beta, penalty = np.zeros(x.shape[1]), ridge * np.diag([0.0, 1.0, 1.0]) + 1e-9 * np.eye(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+    """Newton's method; the ridge spares the bias. Steps are halved until the loss falls, since whole ones need not end where classes hardly overlap."""
+    penalty = ridge * np.diag([0.0, 1.0, 1.0]) + 1e-9 * np.eye(3)
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((np.logaddexp(0.0, z) - y * z).sum() + beta @ penalty @ beta / 2)
+
+    beta = np.zeros(x.shape[1])
+    now = loss(beta)
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        slope = x.T @ (y - p) - penalty @ beta
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, slope)
+        gain, size = float(slope @ step), 1.0
+        while size > 1e-12 and not (then := loss(beta + size * step)) <= now - 1e-4 * size * gain:
+            size /= 2
+        if size <= 1e-12:  # as low as the loss can be told
+            break
+        beta, now = beta + size * step, then
+        if gain < 1e-12:
             break
     return tuple(float(b) for b in beta)
 

@@ -317,6 +317,17 @@ def test_a_long_text_is_scored_in_time():
     assert len(toxicity.Matcher(model)(text)) == 75_000 and time.perf_counter() - began < 10
 
 
+def test_the_fit_ends_where_classes_hardly_overlap():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        toxic = np.column_stack([np.ones(400), rng.uniform(2.8, 5.5, 400), rng.uniform(4.8, 6, 400)])
+        near = np.column_stack([np.ones(20), rng.uniform(1, 4.5, 20), rng.uniform(2, 5.5, 20)])
+        x, y = np.vstack([toxic, np.tile([1.0, 0.0, 0.0], (800, 1)), near]), np.repeat([1.0, 0.0], [400, 820])
+        beta = np.array(toxicity._logistic(x, y))
+        slope = x.T @ (y - 1 / (1 + np.exp(-x @ beta))) - 1e-2 * beta * [0, 1, 1]
+        assert np.abs(slope).max() < 1e-4 and ((x @ beta > 0) == (y == 1)).mean() > 0.99
+
+
 # --- pipeline ---
 
 
