@@ -54,3 +54,34 @@ def test_parts_with_long_rows_together():
     assert max(sum(map(len, p.column("t").to_pylist())) for p in found) <= 5000
     assert [p.num_rows for p in parts([batch], 10)] == [1] * 1000
     assert list(parts([batch.slice(0, 0)])) == []
+
+
+def test_wrapped_lines_in_parts(spark):
+    from lectern.operators import layout
+
+    docs, text = held()
+    out = layout.wrapped_lines(docs)
+    bounded(out, text, 2 << 20)
+    assert {r["doc_id"] for part in out for r in part} == set(range(3000))
+
+
+def test_body_lines_as_token_by_token():
+    import random
+
+    from lectern.operators import layout
+
+    r = random.Random(3)
+    for _ in range(4000):
+        pick = lambda: "".join(r.choice(r.choice(["ab  \n", "abcdefghij ", "a　b\r\t\x1c c\n"])) for _ in range(r.randrange(60)))
+        runs = [(pick(), r.random() < 0.5) for _ in range(r.randrange(4))]
+        size, most = r.choice([1, 1.3, 0.7]), r.choice([3.1, 7.5, 12.2, 0.4, 5])
+        lines = layout.wrap_body(runs, most, layout.fixed_width(size, 1.0))
+        assert layout.body_lines(runs, most, size, 1.0) == (["".join(x for x, _ in q) for q in lines], [sum(len(x) for x, m in q if m) for q in lines])
+
+
+def test_body_lines_measure_no_tokens(monkeypatch):
+    """The width of a token is asked for nowhere: a line is found at once."""
+    from lectern.operators import layout
+
+    monkeypatch.setattr(layout, "wrap_body", None)
+    assert layout.pages_of("[]", "word " * 20000 + "\n" + "x" * 500) > 10
