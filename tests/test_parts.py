@@ -85,3 +85,11 @@ def test_body_lines_measure_no_tokens(monkeypatch):
 
     monkeypatch.setattr(layout, "wrap_body", None)
     assert layout.pages_of("[]", "word " * 20000 + "\n" + "x" * 500) > 10
+
+
+def test_split_documents_in_parts(spark):
+    docs, text = held()
+    out = splitter.split_documents(docs, 300)
+    bounded(out, text, 2 << 20)
+    found = [r for part in out for r in part]
+    assert ["".join(r["body"] for r in found if r["doc_id"] == d) for d in (1, 3, 2999)] == [text[1], text[3], text[2999]]
