@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lectern.functions import numbers, text
 from lectern.operators import layout, splitter
 from lectern.operators.ordered import prefix_sums, ranged
+from lectern.operators.parts import by_row
 from lectern.plans.catalog import TOKENS, query, table
-from lectern.plans.shared import materialize, spread
+from lectern.plans.shared import materialize
 from lectern.sources import files
 
 
@@ -97,38 +98,35 @@ lines AS (SELECT doc_id, max(n) FILTER (kind = 'l') AS n_lines FROM kept GROUP B
 spans AS (SELECT kept.* FROM kept JOIN lines USING (doc_id) WHERE (kind = 'l') = (coalesce(n_lines, 0) >= 3))"""
 
 
-def _span_frame(docs, run, schema):
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
+def _span_frame(docs, each, schema):
+    return by_row(docs.select("doc_id", "text"), each, schema)
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, count(*) AS n_spans, sum(s)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM spans GROUP BY doc_id")
 def spans(spark, sf_dir):
-    def run(batches):
-        for rows in batches:
-            found = [splitter.spans(t or "") for t in rows["text"]]
-            yield rows[["doc_id"]].assign(n_spans=[len(x) for x in found], starts=[sum(a for a, _ in x) for x in found], ends=[sum(b for _, b in x) for x in found])
+    def each(doc_id, t):
+        found = splitter.spans(t or "")
+        yield doc_id, len(found), sum(a for a, _ in found), sum(b for _, b in found)
 
-    return _span_frame(_docs(spark, sf_dir), run, "doc_id long, n_spans long, starts long, ends long").filter("n_spans > 0")
+    return _span_frame(_docs(spark, sf_dir), each, "doc_id long, n_spans long, starts long, ends long").filter("n_spans > 0")
 
 
 @query(f"""WITH {_SPANS}, best AS (SELECT doc_id, arg_min(e, (abs(e - total // 2), e)) AS cut FROM spans WHERE e < total AND n > 1 GROUP BY doc_id)
 SELECT doc_id, coalesce(cut, -1)::BIGINT AS cut FROM documents LEFT JOIN best USING (doc_id)""")
 def fallback_split(spark, sf_dir):
-    def run(batches):
-        for rows in batches:
-            yield rows[["doc_id"]].assign(cut=[splitter.delimiter_split(t or "") for t in rows["text"]])
+    def each(doc_id, t):
+        yield doc_id, splitter.delimiter_split(t or "")
 
-    return _span_frame(_docs(spark, sf_dir), run, "doc_id long, cut long")
+    return _span_frame(_docs(spark, sf_dir), each, "doc_id long, cut long")
 
 
 @query()
 def center_window(spark, sf_dir):
-    def run(batches):
-        for rows in batches:
-            found = [splitter.center_window(t or "", 200) for t in rows["text"]]
-            yield rows[["doc_id"]].assign(window_chars=[len(x) for x in found], window_tokens=[splitter.count_tokens(x) for x in found])
+    def each(doc_id, t):
+        found = splitter.center_window(t or "", 200)
+        yield doc_id, len(found), splitter.count_tokens(found)
 
-    return _span_frame(_docs(spark, sf_dir), run, "doc_id long, window_chars long, window_tokens long")
+    return _span_frame(_docs(spark, sf_dir), each, "doc_id long, window_chars long, window_tokens long")
 
 
 @query("""
@@ -182,11 +180,10 @@ def split_text_even(spark, sf_dir):
             at.append(len(t) if end < 0 else end + 1)
         return [*at, len(t)]
 
-    def run(batches):
-        for rows in batches:
-            yield rows[["doc_id"]].assign(ends=[parts(t or "", max(1, -(-splitter.count_tokens(t or "") // 500))) for t in rows["text"]])
+    def each(doc_id, t):
+        yield doc_id, parts(t or "", max(1, -(-splitter.count_tokens(t or "") // 500)))
 
-    return _span_frame(_docs(spark, sf_dir), run, "doc_id long, ends array<long>")
+    return _span_frame(_docs(spark, sf_dir), each, "doc_id long, ends array<long>")
 
 
 @query("SELECT doc_id, string_split(text, chr(10))[1] AS header, CASE WHEN contains(text, chr(10)) THEN length(text) - length(string_split(text, chr(10))[1]) - 1 ELSE 0 END::BIGINT AS body_chars FROM documents")

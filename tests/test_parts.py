@@ -93,3 +93,13 @@ def test_split_documents_in_parts(spark):
     bounded(out, text, 2 << 20)
     found = [r for part in out for r in part]
     assert ["".join(r["body"] for r in found if r["doc_id"] == d) for d in (1, 3, 2999)] == [text[1], text[3], text[2999]]
+
+
+def test_span_queries_in_parts(spark, monkeypatch):
+    """fallback_split and the like share split_documents' step."""
+    from lectern.plans import queries_text
+
+    docs, text = held()
+    monkeypatch.setattr(queries_text, "_docs", lambda *_: docs)
+    for query in (queries_text.fallback_split, queries_text.center_window, queries_text.split_text_even):
+        bounded(query(spark, ""), text, 2 << 20)
