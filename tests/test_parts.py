@@ -103,3 +103,29 @@ def test_span_queries_in_parts(spark, monkeypatch):
     monkeypatch.setattr(queries_text, "_docs", lambda *_: docs)
     for query in (queries_text.fallback_split, queries_text.center_window, queries_text.split_text_even):
         bounded(query(spark, ""), text, 2 << 20)
+
+
+def test_cosine_topk_streams_past_blocks(spark, monkeypatch):
+    """No row holds a block, and copies are ordered by vec_id wherever they stand."""
+    import numpy as np
+
+    from lectern.plans import search
+
+    monkeypatch.setattr(search, "VECTORS", 100)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    widest = []
+    plain = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, *a: widest.append(self.schema) or plain(self, *a))
+    v = np.random.default_rng(5).normal(size=(60, 7))
+    rows = [(i, v[i % 60].tolist() if i % 11 else None) for i in range(700)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in search.cosine_topk(docs.filter("vec_id % 50 = 1"), docs, 12).collect()}
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    cos = lambda x, y: dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+    want = {}
+    for q, x in rows:
+        if q % 50 == 1 and x:
+            near = sorted(((-cos(x, y), i) for i, y in rows if y and i != q))[:12]
+            want |= {(q, k): i for k, (_, i) in enumerate(near, 1)}
+    assert got == want
+    assert [f.dataType.simpleString() for f in widest[0]] == ["bigint", "boolean", "bigint", "array<double>"]
