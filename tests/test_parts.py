@@ -129,3 +129,11 @@ def test_cosine_topk_streams_past_blocks(spark, monkeypatch):
             want |= {(q, k): i for k, (_, i) in enumerate(near, 1)}
     assert got == want
     assert [f.dataType.simpleString() for f in widest[0]] == ["bigint", "boolean", "bigint", "array<double>"]
+
+
+def test_cuts_and_scores_in_parts(spark):
+    from lectern.operators import embedding_splitter as es
+
+    docs, text = held()
+    for query in (es.split_by_embedding, es.grid_scores):
+        bounded(query(docs), text, 2 << 20)
